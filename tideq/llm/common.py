@@ -75,3 +75,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows, else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideq.llm import ann, bpe, chat, quality, simhash
+from tideq.llm import ann, bpe, chat, contain, quality, simhash
 from tideq.llm.common import table
 
 
@@ -33,11 +33,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contain.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_gam, op4_simhash_vptree, op6_chat_format, op7_byte_bpe, op9_projected_ann)}
+QUERIES = {f.__name__: f for f in (op3_quality_gam, op4_simhash_vptree, op6_chat_format, op7_byte_bpe, op8_minhash_containment, op9_projected_ann)}
 
 ORACLE_SQL = {
     "op6_chat_format": r"""
@@ -57,5 +61,19 @@ select t.conv_id, cast(count(*) as bigint) as n_turns,
   cast(any_value(length(loss)) as bigint) as loss_chars, any_value(sha256(loss)) as loss_sha256,
   cast(sum(length(role) + length(escaped) + 24) as bigint) as formatted_chars
 from turns t join loss l on t.conv_id is not distinct from l.conv_id group by t.conv_id
+""",
+    "op8_minhash_containment": r"""
+with words as (
+  select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents
+  union all
+  select 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') from benchmark
+), shingles as (
+  select distinct kind, id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+  from words where id is not null
+), sizes as (select id, count(*) as n from shingles where kind = 'i' group by id)
+select d.id as doc_id, i.id as item_id, count(*) as shared, any_value(n) as n_shingles, count(*) / any_value(n) as containment
+from shingles d join shingles i on d.s = i.s and d.kind = 'd' and i.kind = 'i' join sizes on sizes.id = i.id
+group by d.id, i.id having count(*) / any_value(n) >= 0.8
 """,
 }
