@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideq.llm import ann, bpe, chat, contain, quality, simhash
+from tideq.llm import ann, bpe, chat, contain, lines, quality, simhash
 from tideq.llm.common import table
 
 
@@ -18,6 +18,19 @@ def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, the positions of those taken out, and a digest of what stays."""
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    raw = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    return found.select(
+        "doc_id",
+        F.size(raw).cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+        F.sha2(F.coalesce(lines.without_removed(F.col("text"), F.col("removed")), F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     more = spark.sql(f"select -1L conv_id, 0L turn, 'user' role, '{control}' text union all select -1L, 1L, 'assistant', '{control}'")
@@ -41,7 +54,7 @@ def op9_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_gam, op4_simhash_vptree, op6_chat_format, op7_byte_bpe, op8_minhash_containment, op9_projected_ann)}
+QUERIES = {f.__name__: f for f in (op3_quality_gam, op4_simhash_vptree, op5_fuzzy_lines, op6_chat_format, op7_byte_bpe, op8_minhash_containment, op9_projected_ann)}
 
 ORACLE_SQL = {
     "op6_chat_format": r"""
