@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideq.llm import ann, bpe, chat, contain, lines, quality, simhash
+from tideq.llm import ann, bpe, chat, contain, lines, pii, quality, simhash
 from tideq.llm.common import table
 
 
@@ -54,7 +54,15 @@ def op9_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_gam, op4_simhash_vptree, op5_fuzzy_lines, op6_chat_format, op7_byte_bpe, op8_minhash_containment, op9_projected_ann)}
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.train(docs))
+    counts = [F.size(F.filter("base_spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
+    every = F.array_sort(F.concat("base_spans", "added_spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(every).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_gam, op4_simhash_vptree, op5_fuzzy_lines, op6_chat_format, op7_byte_bpe, op8_minhash_containment, op9_projected_ann, op10_pii_spans)}
 
 ORACLE_SQL = {
     "op6_chat_format": r"""
