@@ -223,22 +223,20 @@ class Encoder:
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """id, ids (array<int>, or none if not ``with_ids``), n_tokens, ids_sha256, decoded_sha256 of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary.load(path)
         encoder = Encoder(vocabulary, pattern)
-        for batch in batches:
-            all_ids, counts, shas, back = [], [], [], []
-            text_of = vocabulary.text.__getitem__
-            for ids in encoder.encode(["" if text is None else text for text in batch["text"]]):
-                counts.append(len(ids))
-                shas.append(hashlib.sha256(" ".join(map(text_of, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+        text_of = vocabulary.text.__getitem__
+        for texts in batches:
+            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
+            for ids in encoder.encode(["" if text is None else text for text in texts]):
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(hashlib.sha256(" ".join(map(text_of, ids)).encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.append(np.array(ids, dtype=np.int32))
-            out = {"id": batch["id"], "n_tokens": counts, "ids_sha256": shas, "decoded_sha256": back}
-            yield pd.DataFrame({**out, "ids": all_ids} if with_ids else out)
-
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return source.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+                    out["ids"].append(np.array(ids, dtype=np.int32))
+            yield pd.DataFrame(out)
+
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    encoded = F.pandas_udf(run, schema)
+    return docs.select(F.col(id_col), encoded(text_col).alias("_encoded")).select(id_col, "_encoded.*")

@@ -12,13 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, its lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only a local
-    master, where driver and executors are one process, gets a temporary one.
+    Only a local master, where driver and executors are one process, gets a
+    temporary one if none is named.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
@@ -27,6 +26,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(named)
+    return str(context.getCheckpointDir())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -221,18 +221,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score for every row."""
+    """``docs`` with score, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": shared.value.score(feature_frame(batch["text"]))})
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(feature_frame(text)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double")
+    return docs.withColumn("score", scored("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 20_000) -> DataFrame:
     """doc_id, held_out, score (likelihood of label 1), predicted (1 if score >= 0.5) for every row."""
-    return score(docs, train(docs, labels, label_col, sample)).select(
+    return score(docs.select("doc_id", "text"), train(docs, labels, label_col, sample)).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

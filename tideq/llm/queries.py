@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideq.llm import ann, bpe, chat, contain, lines, pii, quality, simhash
+from tideq.llm import ann, bpe, chat, contain, licenses, lines, pages, pii, quality, simhash
 from tideq.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files under source/language/hundreds of ids; one of which a tenth is notices speaks for its directory."""
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files, file_share=0.1)
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,7 +73,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(every).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_gam, op4_simhash_vptree, op5_fuzzy_lines, op6_chat_format, op7_byte_bpe, op8_minhash_containment, op9_projected_ann, op10_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_main_text, op3_quality_gam, op4_simhash_vptree, op5_fuzzy_lines, op6_chat_format, op7_byte_bpe, op8_minhash_containment, op9_projected_ann, op10_pii_spans)}
 
 ORACLE_SQL = {
     "op6_chat_format": r"""

@@ -70,13 +70,11 @@ def fingerprint_of(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint_of(text, shingle) for text in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+    @F.pandas_udf("long")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint_of(text, shingle) for text in texts], dtype=np.uint64).view(np.int64))
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(text_col).alias("fp"))
 
 
 class Tree:
