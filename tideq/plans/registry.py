@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideq.functions import scalar
-from tideq.operators import admin, enqueue, grouping, handlers, inspect, lifecycle, schedule, timers
+from tideq.operators import admin, enqueue, grouping, handlers, inspect, lifecycle, presence, schedule, timers
 from tideq.sources.tables import NOW, TASKS_SQL, read, tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,6 +144,38 @@ def scheduler_events_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.scheduler_events(events, 2, 3).drop("rn")
 
 
+@query(
+    """select server_id, event_id, status from (select user_id % 40 as server_id, event_id, event_type as status, ts + interval 10 day as expires_at,
+  row_number() over (partition by user_id % 40 order by ts desc, event_id desc) as rn from events) where rn = 1 and expires_at >= $NOW and server_id % 7 <> 0""",
+    on_tasks=False,
+)
+def server_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = read(spark, sf_dir, "events").selectExpr("user_id % 40 server_id", "event_id", "event_type status", "ts", "ts + interval '10' day expires_at")
+    now = scalar.now_of(NOW)
+    known = presence.live(presence.latest(reports, ["server_id"], "ts", "event_id"), now)
+    return presence.without(known, known.where("server_id % 7 = 0"), ["server_id"]).select("server_id", "event_id", "status")
+
+
+@query(
+    """select user_id % 20 as scheduler_id, event_id as entry_id, case when event_id % 3 <> 0 then ts end as prev_at
+from events where event_id < 900 and (user_id % 20) % 4 <> 0""",
+    on_tasks=False,
+)
+def scheduler_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").where("event_id < 900").withColumn("scheduler_id", F.col("user_id") % 20)
+    prev = F.expr("case when event_id % 3 = 0 then timestamp_ntz '0001-01-01 00:00:00' else ts end")
+    reports = rows.groupBy("scheduler_id").agg(F.collect_list(F.struct(F.col("event_id").alias("entry_id"), prev.alias("prev_at"))).alias("entries"))
+    expires = F.expr(f"timestamp_ntz '{NOW}' - make_interval(0, 0, 0, 0, 0, 0, case when scheduler_id % 4 = 0 then 1 else 0 end)")
+    return presence.entries(reports.withColumn("expires_at", expires), scalar.now_of(NOW))
+
+
+@query("select id from tasks t where state = 'active' and exists (select 1 from tasks c where c.state = 'scheduled' and c.pos = t.pos + 2 and c.enqueued_at >= t.enqueued_at)")
+def cancelled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = tasks(spark, sf_dir)
+    asked = known.where("state = 'scheduled'").select((F.col("pos") - 2).cast("string").alias("id"), F.col("enqueued_at").alias("at"))
+    return presence.cancelled(known.where("state = 'active'").withColumn("started_at", F.col("enqueued_at")), asked).select("id")
+
+
 # ---- enqueue ---------------------------------------------------------------
 
 _REQUESTS = """select case o_orderkey % 50 when 0 then ' ' when 1 then null else lower(o_orderstatus) end as queue,
