@@ -37,9 +37,9 @@ from tideq.llm.common import checkpointed
 #: Projections that the driver takes to lay out the cells.
 SAMPLE = 20_000
 #: Distinct vectors that a cell should get.
-CELL = 4_096
-#: Points of a leaf of the kd-tree within a cell.
-LEAF = 128
+CELL = 8_192
+#: Points of a leaf of the kd-tree within a cell, verified in one product.
+LEAF = 1_024
 
 
 def chi_square(x: float, dims: int) -> float:

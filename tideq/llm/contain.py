@@ -104,7 +104,8 @@ def contained(
 
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hashed = named.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", shingle_hashes(F.col("w"), shingle).alias("hashes"))
-    sketched = hashed.select("doc_id", F.explode(doc_sketch).alias("s")).select("doc_id", "s.part", "s.least")
+    # an outer explode: a filter on the sketch's size would have it computed twice
+    sketched = hashed.select("doc_id", F.explode_outer(doc_sketch).alias("s")).select("doc_id", "s.part", "s.least")
     candidates = checkpointed(sketched.join(broadcast_within(sketches, SKETCHES), ["part", "least"]).select("doc_id", "item_id").distinct())
 
     by_doc = candidates.groupBy("doc_id").agg(F.collect_list("item_id").alias("item_ids"))
