@@ -149,14 +149,17 @@ def _search(shard: pd.DataFrame, k: int, dims: int, bound: float, largest: float
         gaps = (off * off).sum(axis=1)
         base = float(q @ q) + largest**2
         kth = float(reach)
+        floor = (base - kth) / 2 - 1e-9 * base  # what the home cell found is no worse, but for rounding
         found_ids, found_scores = np.zeros(0, dtype=np.int64), np.zeros(0)
         for leaf in np.argsort(gaps, kind="stable"):
             if gaps[leaf] > bound * kth:
                 break
             which = leaves[leaf]
             scores = vectors[which] @ q
-            if len(found_scores) == k:
-                keep = scores >= found_scores[-1]
+            keep = scores >= (found_scores[-1] if len(found_scores) == k else floor)
+            which, scores = which[keep], scores[keep]
+            if len(which) > k + 1:  # one point may hold no id but the query's; ties stay
+                keep = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
                 which, scores = which[keep], scores[keep]
             if not len(which):
                 continue
