@@ -105,3 +105,13 @@ def test_snapshot_prunes_folders(spark, sf_dir, tmp_path):
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() == 3
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entries_are_rows_of_live_schedulers(spark):
+    from tideq.operators import presence
+
+    never, then, now = "timestamp_ntz '0001-01-01 00:00:00'", "timestamp_ntz '2024-01-19 00:00:00'", "timestamp_ntz '2024-01-20 00:00:00'"
+    schedulers = spark.sql(f"select * from values (1, {now}), (1, {now}), (2, {then}) as t(scheduler_id, expires_at)")
+    rows = spark.sql(f"select * from values (1, 10, {then}), (1, 10, {then}), (1, 11, {never}), (2, 12, {then}), (3, 13, {then}) as t(scheduler_id, entry_id, prev_at)")
+    found = presence.entries(schedulers, rows, F.expr(now))
+    assert sorted((r.entry_id, r.prev_at is None) for r in found.collect()) == [(10, False), (10, False), (11, True)]

@@ -21,9 +21,9 @@ def without(rows: DataFrame, cleared: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(cleared.select(*key).distinct(), key, "left_anti")
 
 
-def entries(schedulers: DataFrame, now: Column) -> DataFrame:
-    """A row for each entry of each live scheduler (scheduler_id, expires_at, entries); times that never were are null."""
-    listed = live(schedulers, now).select("scheduler_id", F.explode("entries").alias("e")).select("scheduler_id", "e.*")
+def entries(schedulers: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """The rows (scheduler_id, entry_id, prev_at) of live schedulers (scheduler_id, expires_at); times that never were are null."""
+    listed = rows.join(live(schedulers, now).select("scheduler_id").distinct(), "scheduler_id", "left_semi")
     never = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
     return listed.withColumn("prev_at", F.when(F.col("prev_at") != never, F.col("prev_at")))
 

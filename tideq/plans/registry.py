@@ -164,9 +164,10 @@ from events where event_id < 900 and (user_id % 20) % 4 <> 0""",
 def scheduler_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").where("event_id < 900").withColumn("scheduler_id", F.col("user_id") % 20)
     prev = F.expr("case when event_id % 3 = 0 then timestamp_ntz '0001-01-01 00:00:00' else ts end")
-    reports = rows.groupBy("scheduler_id").agg(F.collect_list(F.struct(F.col("event_id").alias("entry_id"), prev.alias("prev_at"))).alias("entries"))
+    listed = rows.select("scheduler_id", F.col("event_id").alias("entry_id"), prev.alias("prev_at"))
     expires = F.expr(f"timestamp_ntz '{NOW}' - make_interval(0, 0, 0, 0, 0, 0, case when scheduler_id % 4 = 0 then 1 else 0 end)")
-    return presence.entries(reports.withColumn("expires_at", expires), scalar.now_of(NOW))
+    reports = rows.select("scheduler_id").distinct().withColumn("expires_at", expires)
+    return presence.entries(reports, listed, scalar.now_of(NOW))
 
 
 @query("select id from tasks t where state = 'active' and exists (select 1 from tasks c where c.state = 'scheduled' and c.pos = t.pos + 2 and c.enqueued_at >= t.enqueued_at)")
