@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,53 +37,58 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _fold(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"] or 0
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once into a Parquet table in the shared checkpoint folder, its lineage cut.
+
+    Smaller than a checkpoint and read column by column; it stays until the folder is cleared.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (u, v); root is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until the edges are stars
-    whose centre is their smallest node. Every step is a grouped minimum,
-    combined before its shuffle, and an equi-join; no adjacency list is built.
+    In each round every node takes the smallest of itself and its neighbours, a
+    grouped minimum that is combined before its shuffle; nodes with the same
+    smallest one are contracted, and the edges between what is left go on. Edges
+    shrink from round to round, and no adjacency list is built. At the end the
+    rounds' steps are followed from each node to its root.
     A node without edges is not returned; self loops and nulls are dropped.
     """
-    now = checkpointed(
-        edges.where("u is not null and v is not null and u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
-    seen = _fold(now)
+    left = written(edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    steps: list[DataFrame] = []
     for _ in range(rounds):
-        if seen[0] == 0:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(least, "u")
-            .where("v > u and v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = checkpointed(
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        last, seen = seen, _fold(now)
-        if seen == last:
+        if left.limit(1).count() == 0:
             break
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        step = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).select("node", F.least("node", "root").alias("root")))
+        steps.append(step)
+        ends = (step.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "uv")
+        moved = reduce(lambda a, b: a.join(b, b.columns[0]), ends, left).where("u_root <> v_root")
+        left = written(moved.select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct())
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most so many rows, else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if not steps:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found = steps.pop()
+    while steps:
+        onward = found.select(F.col("node").alias("root"), F.col("root").alias("onward"))
+        found = steps.pop().join(onward, "root", "left").select("node", F.coalesce("onward", "root").alias("root"))
+    return found
+
+
+def broadcast_within(df: DataFrame, rows: int, size: Column | None = None, most: int = 16_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows and, by the summed ``size`` of a row, ``most`` bytes; else as it is, to be shuffled."""
+    row = df.select((F.lit(8 * (len(df.columns) + 2)) if size is None else size).alias("size")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    return F.broadcast(df) if row["n"] <= rows and (row["bytes"] or 0) <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
