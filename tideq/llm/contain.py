@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideq.llm.common import broadcast_within, checkpointed
+from tideq.llm.common import broadcast_within, checkpointed, free_name
 
 #: Rows up to which one side of a join is broadcast.
 SKETCHES = 500_000
@@ -110,11 +110,11 @@ def contained(
 
     by_doc = candidates.groupBy("doc_id").agg(F.collect_list("item_id").alias("item_ids"))
     found = (
-        named.join(broadcast_within(by_doc, CANDIDATES), "doc_id")
+        named.join(broadcast_within(by_doc, CANDIDATES, F.octet_length(F.array_join(F.col("item_ids").cast("array<string>"), "")) + F.size("item_ids") * 16 + 32), "doc_id")
         .select("doc_id", "item_ids", words_of(F.col("text")).alias("w"))
         .select("doc_id", "item_ids", F.array_distinct(shingle_texts(F.col("w"), shingle)).alias("doc_texts"))
         .select("doc_id", "doc_texts", F.explode("item_ids").alias("item_id"))
-        .join(broadcast_within(known.select("item_id", "texts"), CANDIDATES // 100), "item_id")
+        .join(broadcast_within(known.select("item_id", "texts"), CANDIDATES, F.octet_length(F.array_join("texts", "")) + F.size("texts") * 24), "item_id")
         .select("doc_id", "item_id", F.size(F.array_intersect("texts", "doc_texts")).alias("shared"), F.size("texts").alias("n_shingles"))
     )
     return (
@@ -125,8 +125,14 @@ def contained(
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
-    """``docs`` without those that contain an item."""
-    leaked = contained(docs, items, **options).select(F.col("doc_id").alias(str(options.get("id_col", "doc_id")))).distinct()
-    leaked = checkpointed(leaked)
-    return docs.join(broadcast_within(leaked, CANDIDATES), str(options.get("id_col", "doc_id")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options: object) -> DataFrame:
+    """``docs`` without the rows whose text contains an item.
+
+    Rows are told apart by a hash of their text, so that null or repeated ids
+    neither keep nor lose a row. Extra columns of any name are carried along.
+    """
+    mine = free_name(docs, "leaked")
+    key = F.xxhash64(F.lit("|"), F.col(text_col))
+    named = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    leaked = checkpointed(contained(named, items, **options).select(F.col("doc_id").alias(mine)).distinct())
+    return docs.join(broadcast_within(leaked, CANDIDATES), key == F.col(mine), "left_anti")

@@ -214,21 +214,22 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
             out = pd.DataFrame(feature_frame(batch["text"]), columns=list(FEATURES))
             yield out.assign(_label=batch["_label"].to_numpy())
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    # of rows with one id the smallest text is learned from, so that repeated ids add no rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
     schema = ", ".join(f"{f} double" for f in FEATURES) + ", _label double"
     got = rows.select("text", "_label").mapInPandas(run, schema).toPandas()
     return fit(got[list(FEATURES)].to_numpy(dtype=np.float64), got["_label"].to_numpy(dtype=np.float64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score, for every row."""
+def score(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col``, for every row; a column that has this name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(feature_frame(text)))
 
-    return docs.withColumn("score", scored("text"))
+    return docs.withColumn(score_col, scored("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 20_000) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideq.llm.common import checkpointed, connected_components
+from tideq.llm.common import broadcast_within, checkpointed, connected_components, free_name
 
 #: Masks of the two trees.
 HALVES = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000)
@@ -215,16 +215,45 @@ def _links(distinct: DataFrame, radius: int) -> DataFrame:
     return routed.groupBy("tree", "leaf").applyInPandas(search, "u long, v long").distinct()
 
 
+def _grouped(marked: DataFrame, radius: int) -> DataFrame:
+    """fp, root, least_id of each distinct fingerprint of ``marked`` (doc_id, fp); root is the fingerprint that stands for its component."""
+    distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    roots = connected_components(_links(distinct, radius)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fp (signed long), component_id (smallest doc_id reachable), for every row of ``docs``."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = connected_components(_links(distinct, radius)).withColumnRenamed("node", "fp")
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _grouped(marked, radius)
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = placed.join(least, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (null ids last), then of the smallest hash of the whole row.
+
+    Rows are told apart by a hash of all their columns, not by their ids; of
+    wholly equal rows one stays. Extra columns of any name are carried along.
+    """
+    row, fate = free_name(docs, "row"), free_name(docs, "fate")
+    key = F.xxhash64(*(F.to_json(F.col(c)) if kind.startswith("map") else F.col(c) for c, kind in docs.dtypes))
+
+    @F.pandas_udf("long")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint_of(text, shingle) for text in texts], dtype=np.uint64).view(np.int64))
+
+    marked = checkpointed(docs.select(key.alias("row"), F.col(id_col).cast("long").alias("doc_id"), fingerprint(text_col).alias("fp")))
+    placed = marked.join(_grouped(marked.select("doc_id", "fp"), radius).select("fp", "root"), "fp").groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    stays = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays"))
+    # only rows that go, or of which there are several, are looked up
+    fates = placed.join(stays, "root").select(F.col("row").alias(row), F.when(F.col("row") != F.col("stays.row"), F.lit(0)).when(F.col("n") > 1, F.lit(1)).alias(fate)).where(F.col(fate).isNotNull())
+    fates = checkpointed(fates.groupBy(row).agg(F.max(fate).alias(fate)))
+    told = docs.withColumn(row, key).join(broadcast_within(fates, 500_000), row, "left")
+    several = told.where(F.col(fate) == 1).dropDuplicates([row])
+    return told.where(F.col(fate).isNull()).unionByName(several).select(docs.columns)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
