@@ -9,30 +9,40 @@ from tideq.operators.lifecycle import ARCHIVE_KEPT
 
 RUNNABLE = ("scheduled", "retry", "archived", "completed", "aggregating")
 ARCHIVABLE = ("pending", "scheduled", "retry", "completed", "aggregating")
+# Result codes of the states in which a task can't be changed.
+RUN_REFUSED = {"active": -1, "pending": -2}
+ARCHIVE_REFUSED = {"archived": -1, "active": -2}
+DELETE_REFUSED = {"active": -1}
 
 
-def code(wanted: DataFrame, tasks: DataFrame, allowed: tuple[str, ...], to: str) -> DataFrame:
-    """queue, id, result, new_state for each wanted task: 1 changed, 0 not found, -1 in a state that forbids it."""
-    joined = wanted.join(tasks.select("queue", "id", "state"), ["queue", "id"], "left")
-    result = F.when(F.col("state").isNull(), 0).when(F.col("state").isin(*allowed), 1).otherwise(-1)
+def code(wanted: DataFrame, tasks: DataFrame, allowed: tuple[str, ...], to: str, refused: dict[str, int]) -> DataFrame:
+    """queue, id, result, new_state for each wanted task, once however often it is named.
+
+    1: changed; 0: not found; else the code that ``refused`` has for the task's state.
+    """
+    joined = wanted.select("queue", "id").distinct().join(tasks.select("queue", "id", "state"), ["queue", "id"], "left")
+    result = F.when(F.col("state").isNull(), 0).when(F.col("state").isin(*allowed), 1)
+    for state, number in refused.items():
+        result = result.when(F.col("state") == state, number)
     return joined.select("queue", "id", result.alias("result"), F.when(result == 1, F.lit(to)).otherwise(F.col("state")).alias("new_state"))
 
 
 def run_task(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
-    return code(wanted, tasks, RUNNABLE, "pending")
+    return code(wanted, tasks, RUNNABLE, "pending", RUN_REFUSED)
 
 
 def archive_task(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
-    return code(wanted, tasks, ARCHIVABLE, "archived")
+    return code(wanted, tasks, ARCHIVABLE, "archived", ARCHIVE_REFUSED)
 
 
 def delete_task(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
-    return code(wanted, tasks, (*ARCHIVABLE, "archived"), "deleted")
+    return code(wanted, tasks, (*ARCHIVABLE, "archived"), "deleted", DELETE_REFUSED)
 
 
 def update_payload(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Scheduled tasks named in ``wanted`` (queue, id, new_payload) with that payload."""
-    found = tasks.where("state = 'scheduled'").join(wanted, ["queue", "id"])
+    """Scheduled tasks named in ``wanted`` (queue, id, new_payload) with that payload; of several for one task the largest."""
+    once = wanted.groupBy("queue", "id").agg(F.max("new_payload").alias("new_payload"))
+    found = tasks.where("state = 'scheduled'").join(once, ["queue", "id"])
     return found.withColumn("payload", F.col("new_payload")).drop("new_payload")
 
 

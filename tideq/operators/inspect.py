@@ -69,8 +69,8 @@ def list_tasks(tasks: DataFrame, state: str, page: int = 1, size: int = PAGE_SIZ
 
 
 def orphaned(now: str) -> Column:
-    """Whether an active task's lease ended over half a minute ago."""
-    return F.col("lease_expires_at") < now_of(now) - F.make_interval(secs=F.lit(30))
+    """Whether an active task's lease ended half a minute ago or before."""
+    return F.col("lease_expires_at") <= now_of(now) - F.make_interval(secs=F.lit(30))
 
 
 def task_info(tasks: DataFrame, queue: str, ids: list[str], now: str) -> DataFrame:

@@ -54,9 +54,9 @@ def deadline(timeout: Column, limit: Column, now: str) -> Column:
 
 
 def outcome(error: Column, retried: Column, retry: Column, retention: Column, lease: Column, now: str) -> Column:
-    """What happens to a task after its handler: the order of the checks matters."""
+    """What happens to a task after its handler: the order of the checks matters. A lease that ends just now still holds."""
     return (
-        F.when(lease <= now_of(now), "lease_expired")
+        F.when(lease < now_of(now), "lease_expired")
         .when(error.isNull(), F.when(retention > 0, "completed").otherwise("done"))
         .when(error == "revoke", "done")
         .when((error == "skip_retry") | (retried >= retry), "archived")
@@ -103,10 +103,11 @@ def requeue(tasks: DataFrame) -> DataFrame:
     return active.join(front, "queue", "left").withColumn("pos", F.coalesce("front", F.lit(0)) - F.col("n")).withColumn("state", F.lit("pending")).drop("n", "front")
 
 
-def extend_leases(tasks: DataFrame, now: str) -> DataFrame:
-    """Active tasks whose lease still runs, leased anew."""
-    alive = tasks.where((F.col("state") == "active") & (F.col("lease_expires_at") > now_of(now)))
-    return alive.withColumn("lease_expires_at", now_of(now) + F.make_interval(secs=F.lit(LEASE_SECONDS)))
+def extend_leases(tasks: DataFrame, ids: DataFrame, now: str) -> DataFrame:
+    """Active tasks named in ``ids`` (queue, id) that have a lease, run out or not, leased anew."""
+    leased = tasks.where((F.col("state") == "active") & F.col("lease_expires_at").isNotNull())
+    named = leased.join(ids.select("queue", "id").distinct(), ["queue", "id"], "left_semi")
+    return named.withColumn("lease_expires_at", now_of(now) + F.make_interval(secs=F.lit(LEASE_SECONDS)))
 
 
 def run_summary(transitions: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _listing(name: str, state: str, order: str, page: int, size: int, extra: str = "", group: str | None = None) -> None:
     where = f"state = '{state}'" + (f" and group_key = '{group}'" if group else "")
     due = {"pending": "$NOW", "scheduled": "process_at", "retry": "process_at"}.get(state, "cast(null as timestamp)")
-    orphan = "lease_expires_at < $NOW - interval 30 second" if state == "active" else "false"
+    orphan = "lease_expires_at <= $NOW - interval 30 second" if state == "active" else "false"
     sql = f"""select queue, id, type, rn, {due} as next_process_at, {orphan} as is_orphaned from (
   select *, cast(row_number() over (partition by queue order by {order}) as integer) as rn from tasks where {where}) where rn > {(page - 1) * size} and rn <= {page * size}"""
 
@@ -158,11 +158,11 @@ def server_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select user_id % 20 as scheduler_id, event_id as entry_id, case when event_id % 3 <> 0 then ts end as prev_at
-from events where event_id < 900 and (user_id % 20) % 4 <> 0""",
+from events where (user_id % 20) % 4 <> 0""",
     on_tasks=False,
 )
 def scheduler_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").where("event_id < 900").withColumn("scheduler_id", F.col("user_id") % 20)
+    rows = read(spark, sf_dir, "events").withColumn("scheduler_id", F.col("user_id") % 20)
     prev = F.expr("case when event_id % 3 = 0 then timestamp_ntz '0001-01-01 00:00:00' else ts end")
     listed = rows.select("scheduler_id", F.col("event_id").alias("entry_id"), prev.alias("prev_at"))
     expires = F.expr(f"timestamp_ntz '{NOW}' - make_interval(0, 0, 0, 0, 0, 0, case when scheduler_id % 4 = 0 then 1 else 0 end)")
@@ -292,13 +292,14 @@ def requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.requeue(tasks(spark, sf_dir)).select("queue", "id", "state", "pos")
 
 
-@query("select queue, id, $NOW + interval 30 second as lease_expires_at from tasks where state = 'active' and lease_expires_at > $NOW")
+@query("select queue, id, $NOW + interval 30 second as lease_expires_at from tasks where state = 'active' and pos % 2 = 0")
 def extend_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.extend_leases(tasks(spark, sf_dir), NOW).select("queue", "id", "lease_expires_at")
+    known = tasks(spark, sf_dir)
+    return lifecycle.extend_leases(known, known.where("pos % 2 = 0"), NOW).select("queue", "id", "lease_expires_at")
 
 
 _ERROR = "case pos % 7 when 0 then 'revoke' when 1 then 'skip_retry' when 2 then 'failed' when 3 then 'timeout' end"
-_OUTCOME = f"""select queue, id, case when lease_expires_at <= $NOW then 'lease_expired' when error is null then case when pos % 2 = 0 then 'completed' else 'done' end
+_OUTCOME = f"""select queue, id, case when lease_expires_at < $NOW then 'lease_expired' when error is null then case when pos % 2 = 0 then 'completed' else 'done' end
   when error = 'revoke' then 'done' when error = 'skip_retry' or retried >= retry then 'archived' else 'retry' end as outcome
 from (select *, {_ERROR} as error from tasks where state = 'active')"""
 
@@ -402,11 +403,10 @@ def reclaim_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WANTED = "select case user_id % 3 when 0 then 'critical' when 1 then 'default' else 'low' end as queue, cast(event_id + case when event_id % 10 = 0 then 10000000 else 0 end as {string}) as id from {events} where event_id % 5 = 0"
 
 
-def _change(name: str, change: Callable[[DataFrame, DataFrame], DataFrame], allowed: tuple[str, ...], to: str) -> None:
-    states = ", ".join(f"'{s}'" for s in allowed)
-    sql = f"""select w.queue, w.id, case when t.state is null then 0 when t.state in ({states}) then 1 else -1 end as result,
-  case when t.state in ({states}) then '{to}' else t.state end as new_state
-from ({_WANTED.format(string="varchar", events="events")}) w left join tasks t on t.queue = w.queue and t.id = w.id"""
+def _change(name: str, change: Callable[[DataFrame, DataFrame], DataFrame], sql_code: str, to: str) -> None:
+    sql = f"""select queue, id, result, case when result = 1 then '{to}' else state end as new_state
+from (select w.queue, w.id, t.state, {sql_code} as result
+  from ({_WANTED.format(string="varchar", events="events")}) w left join tasks t on t.queue = w.queue and t.id = w.id)"""
 
     def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
         wanted = spark.sql(_WANTED.format(string="string", events="{events}"), events=read(spark, sf_dir, "events"))
@@ -416,9 +416,10 @@ from ({_WANTED.format(string="varchar", events="events")}) w left join tasks t o
     query(sql)(changed)
 
 
-_change("run_task", admin.run_task, admin.RUNNABLE, "pending")
-_change("archive_task", admin.archive_task, admin.ARCHIVABLE, "archived")
-_change("delete_task", admin.delete_task, (*admin.ARCHIVABLE, "archived"), "deleted")
+# each in the order in which the original script tests a task's state
+_change("run_task", admin.run_task, "case when t.state is null then 0 when t.state = 'active' then -1 when t.state = 'pending' then -2 else 1 end", "pending")
+_change("archive_task", admin.archive_task, "case when t.state is null then 0 when t.state = 'active' then -2 when t.state = 'archived' then -1 else 1 end", "archived")
+_change("delete_task", admin.delete_task, "case when t.state is null then 0 when t.state = 'active' then -1 else 1 end", "deleted")
 
 
 @query("select queue, id, state, 'new-' || id as payload from tasks where state = 'scheduled' and pos % 3 = 0")
