@@ -46,3 +46,14 @@ def test_many_cells_ties_and_odd_rows(spark, monkeypatch):
 
 def test_chi_square():
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
+
+
+def test_repeated_rows_hide_no_neighbour(spark):
+    """Forty copies of the nearest row count once."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.standard_normal(6)]) for i in range(60)]
+    query = np.array(rows[20][1])
+    order = sorted((-float(np.dot(query, x)), i) for i, x in rows if i != 20)[:20]
+    table = spark.createDataFrame(rows + [rows[order[0][1]]] * 40, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann.nearest(table).where("query_id = 20").orderBy("rank").collect()]
+    assert got == [i for _, i in order]

@@ -19,7 +19,8 @@ shard, with their k + 1 smallest ids, which is all that any query can return.
 Defined results: vectors that are null, zero, of another length than the first
 usual one (the commonest), or with null or non-finite components take no part;
 a null id takes no part; with fewer candidates than k all are returned; ties go
-to the smaller id. Equal ids are distinct candidates only if their vectors differ.
+to the smaller id. Equal ids are distinct candidates only if their vectors
+differ; wholly repeated rows count once.
 """
 
 from __future__ import annotations
@@ -213,7 +214,7 @@ def nearest(
 
     # of equal vectors the k + 1 smallest ids; the rank is limited before the shuffle too
     first = Window.partitionBy("vector").orderBy("id")
-    kept = usable.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    kept = usable.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     distinct = kept.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     points = checkpointed(distinct.mapInPandas(project(False), "vector array<double>, ids array<long>, projected array<double>"))
     count = points.count()

@@ -70,7 +70,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(docs, pii.train(docs))
     counts = [F.size(F.filter("base_spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
     every = F.array_sort(F.concat("base_spans", "added_spans"))
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(every).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_main_text, op3_quality_gam, op4_simhash_vptree, op5_fuzzy_lines, op6_chat_format, op7_byte_bpe, op8_minhash_containment, op9_projected_ann, op10_pii_spans)}
