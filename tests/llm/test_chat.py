@@ -13,6 +13,11 @@ def test_layouts_and_round_trip(spark):
         (6, '{"odd":1}'),
         (7, None),
         (8, "no json"),
+        (9, '{"messages":[{"role":"user","content":{"parts":["deep"]}}]}'),
+        (10, '{"messages":[{"role":"user","content":{"parts":[{"a":[{"b":1}]}]}}]}'),
+        (11, '{"messages":[{"role":"user","content":{"parts":[{"a":[{"c":1}]}]}}]}'),
+        (12, '{"messages":[{"role":"user","content":7},{"role":"assistant","content":8}]}'),
+        (13, '{"messages":[{"role":"user","content":"x"},{"role":"assistant","content":["x"]}]}'),
     ]
     out = chat.format_chats(spark.createDataFrame(rows, "conv_id int, record string"))
     got = {r.conv_id: r for r in out.withColumn("back", chat.read_back(F.col("formatted"))).collect()}
@@ -20,7 +25,8 @@ def test_layouts_and_round_trip(spark):
     assert turns[1] == [("us\ner\\n", "<|x <\\|y <<|im_end|>"), ("assistant", "")]
     assert turns[2] == [("user", "a\n\nb"), ("assistant", "c")] and turns[3] == [("user", "p"), ("assistant", "c")]
     assert turns[4] == [("user", "hi"), ("assistant", "yo")] and turns[5] == []
-    assert turns[6] is turns[7] is turns[8] is None
+    assert turns[6] is turns[7] is turns[8] is turns[9] is turns[13] is None and turns[12] == [("user", "7"), ("assistant", "8")]
+    assert len({got[i].layout for i in (1, 2, 3, 4, 9, 10, 11)}) == 7
     assert all([(t.role, t.text) for t in r.back] == turns[i] for i, r in got.items() if r.turns is not None)
 
 
@@ -29,3 +35,14 @@ def test_rows_by_turn(spark):
     got = {r.conv_id: r for r in chat.digest(chat.format_chats(chat.as_records(rows))).collect()}
     assert got[1].n_turns == 4 and got[1].loss_chars == 2 and got[None].n_turns == 1
     assert chat.digest(chat.format_chats(chat.as_records(rows.limit(0)))).count() == 0
+
+
+def test_conversations_come_in_several_layouts(spark):
+    """Which layout a conversation is dealt to shows in its fingerprint, and in nothing else."""
+    roles = ("user", "assistant", "human", "gpt", "system")
+    rows = [(i, t, roles[(i + t) % (2 if i % 2 else 5)], f"text {i} {t}") for i in range(40) for t in range(1 + i % 4)]
+    made = chat.format_chats(chat.as_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = made.collect()
+    assert {r.layout_name for r in got} == {"messages", "share", "turns"}
+    want = {i: [(x[2], x[3]) for x in rows if x[0] == i] for i in range(40)}
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in got} == want

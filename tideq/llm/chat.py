@@ -1,7 +1,8 @@
 r"""Chat formatting: records of several layouts become one templated string with a loss mask.
 
-A record is JSON. Its schema fingerprint is the hash of its sorted nested field
-paths (array positions are left out, absent fields don't count). A declarative
+A record is JSON. Its schema fingerprint is the hash of its nested field paths
+at any depth (array positions and types of scalars are left out, absent fields
+don't count). A declarative
 mapping is registered for each fingerprint that its layout can have, and says
 where the turns are, or which fields make up which turn.
 
@@ -50,12 +51,12 @@ class Mapping:
 
 #: Layouts that are known; ``paths`` has each set of field paths that one can have.
 MAPPINGS = (
-    Mapping("messages", (("messages", "messages[].content", "messages[].role"), ("messages",)), many="messages", role="role", text="content"),
+    Mapping("messages", (("messages[].content", "messages[].role"), ("messages[]",)), many="messages", role="role", text="content"),
     Mapping(
-        "share", (("conversations", "conversations[].from", "conversations[].value"), ("conversations",)), many="conversations", role="from", text="value",
+        "share", (("conversations[].from", "conversations[].value"), ("conversations[]",)), many="conversations", role="from", text="value",
         roles=(("human", "user"), ("gpt", "assistant")),
     ),
-    Mapping("turns", (("turns", "turns[].role", "turns[].text"), ("turns",)), many="turns", role="role", text="text"),
+    Mapping("turns", (("turns[].role", "turns[].text"), ("turns[]",)), many="turns", role="role", text="text"),
     Mapping(
         "instruction", (("instruction", "output"), ("input", "instruction", "output")),
         fixed=(("user", ("instruction", "input")), ("assistant", ("output",))),
@@ -66,27 +67,40 @@ MAPPINGS = (
 )
 
 
-def _keys(record: Column, path: str) -> Column:
-    return F.coalesce(F.json_object_keys(F.get_json_object(record, path)), F.array().cast("array<string>"))
+#: A scalar type in a schema text, where a field or a member has it.
+_SCALAR = r"(: |<)(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>])"
 
 
 def field_paths(record: Column) -> Column:
-    """Sorted field paths of a JSON object, two levels deep, lists by their members' fields."""
-    top = _keys(record, "$")
+    """The nested fields of a JSON object at any depth, as one text: names in order, the fields of a list those of all its members.
 
-    def below(name: Column) -> Column:
-        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), name, F.lit("']")))
-        members = F.when(value.startswith("["), F.from_json(value, "array<string>"))
-        nested = F.flatten(F.transform(members, lambda x: _keys(x, "$")))
-        listed = F.transform(F.coalesce(nested, F.array().cast("array<string>")), lambda x: F.concat(name, F.lit("[]."), x))
-        plain = F.transform(F.when(value.startswith("{"), _keys(value, "$")).otherwise(F.array().cast("array<string>")), lambda x: F.concat(name, F.lit("."), x))
-        return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array(name), listed, plain))
+    A field that is of several types among them has a shape of its own, so that such records are left for repair.
+    What is no JSON gives an empty text, as do records over the engine's limit of 128 MiB.
+    """
+    shape = F.schema_of_variant(F.try_parse_json(record))
+    return F.coalesce(F.regexp_replace(shape, _SCALAR, "$1"), F.lit(""))
+
+
+def shape_of(paths: tuple[str, ...]) -> str:
+    """The text that ``field_paths`` gives for a record with such paths, as ``messages[].role``."""
+
+    def text(tree: dict) -> str:
+        fields = []
+        for name in sorted(tree):
+            inner = text(tree[name]) if tree[name] else ""
+            fields.append(f"{name[:-2]}: ARRAY<{inner}>" if name.endswith("[]") else f"{name}: {inner}")
+        return f"OBJECT<{', '.join(fields)}>"
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(top, below))))
+    top: dict = {}
+    for path in paths:
+        at = top
+        for name in path.split("."):
+            at = at.setdefault(name, {})
+    return text(top)
 
 
 def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(F.array_join(paths, "\n"))
+    return F.xxhash64(paths)
 
 
 def _turns(record: Column, mapping: Mapping) -> Column:
@@ -114,7 +128,7 @@ def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tu
     turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     for mapping in mappings:
         for paths in mapping.paths:
-            known = F.col("layout") == F.xxhash64(F.lit("\n".join(sorted(paths))))
+            known = F.col("layout") == F.xxhash64(F.lit(shape_of(paths)))
             turns = F.when(known, _turns(F.col(record_col), mapping).cast(TURNS)).otherwise(turns)
             name = F.when(known, F.lit(mapping.name)).otherwise(name)
     return marked.withColumn("layout_name", name).withColumn("turns", turns)
@@ -166,11 +180,21 @@ def format_chats(records: DataFrame, record_col: str = "record", mappings: tuple
 
 
 def as_records(rows: DataFrame) -> DataFrame:
-    """conv_id, record: the rows of each conversation, by turn, as JSON of the messages layout."""
+    """conv_id, record: the rows of each conversation, by turn, as JSON.
+
+    Conversations are dealt by a hash of conv_id to the layouts ``messages``,
+    ``share`` and ``turns``. One whose own roles are names that ``share`` renames keeps to ``turns``.
+    """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     gathered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), role.alias("role"), text.alias("content")))).alias("x"))
-    messages = F.transform("x", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return gathered.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    named = lambda x: F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"])
+    listed = lambda field, role, text, name=lambda x: x["role"]: F.to_json(
+        F.struct(F.transform("x", lambda x: F.struct(name(x).alias(role), x["content"].alias(text))).alias(field))
+    )
+    dealt = F.pmod(F.xxhash64("conv_id"), F.lit(3))
+    taken = F.exists("x", lambda x: x["role"].isin("human", "gpt"))
+    record = F.when(dealt == 0, listed("messages", "role", "content")).when((dealt == 1) & ~taken, listed("conversations", "from", "value", named)).otherwise(listed("turns", "role", "text"))
+    return gathered.select("conv_id", record.alias("record"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
