@@ -115,3 +115,34 @@ def test_entries_are_rows_of_live_schedulers(spark):
     rows = spark.sql(f"select * from values (1, 10, {then}), (1, 10, {then}), (1, 11, {never}), (2, 12, {then}), (3, 13, {then}) as t(scheduler_id, entry_id, prev_at)")
     found = presence.entries(schedulers, rows, F.expr(now))
     assert sorted((r.entry_id, r.prev_at is None) for r in found.collect()) == [(10, False), (10, False), (11, True)]
+
+
+def test_durations_quotes_and_instants(spark):
+    from tideq.functions import scalar
+
+    texts = ("1h30m", "-1.5h", "1.000000001s", ".5ms", "1.s", "2562047h47m16.854775807s", "-2562047h47m16.854775808s", "2562047h47m16.854775808s", "3µs4ns", "0", "", "1", "h", ".s", "1 s", "9" * 50 + "s", None)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.n for r in df.select("i", scalar.duration_nanos(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [5400 * 10**9, -5400 * 10**9, 10**9 + 1, 500_000, 10**9, 2**63 - 1, -(2**63), None, 3004, 0, *[None] * 7]
+    row = spark.sql("select -1500000000L n, 'a\"b\\\\\u0007\u0001\u0085\u2028é' t, '@every 1m0.9s' e, '@every  1s' f, X'61FF' bad, X'C3A9' good").select(
+        scalar.instant(F.lit(10), F.col("n")).alias("at"), scalar.quoted(F.col("t")).alias("q"), scalar.every_seconds(F.col("e")).alias("e"), scalar.every_seconds(F.col("f")).alias("f"),
+        scalar.utf8_or_null(F.col("bad")).alias("bad"), scalar.utf8_or_null(F.col("good")).alias("good"), scalar.time_or_null(F.lit(0)).alias("none"), scalar.span_or_zero(F.lit(-3)).alias("zero"),
+        scalar.unix_date(F.expr("timestamp '2024-01-02 03:04:05'")).alias("day"),
+    ).first()
+    assert tuple(row.at) == (8, 500_000_000) and row.q == '"a\\"b\\\\\\a\\x01\\u0085\\u2028é"'
+    assert (row.e, row.f, row.bad, row.good, row.none, row.zero) == (60, None, None, "é", None, 0) and row.day == "Tue Jan  2 03:04:05 UTC 2024"
+
+
+def test_leap_days_over_a_century_and_entries(spark):
+    from datetime import datetime, timezone
+
+    from tideq.operators import grouping, schedule
+
+    after = lambda spec, *day: schedule.Cron(spec).after(datetime(*day, tzinfo=timezone.utc))
+    assert after("0 0 29 2 *", 2096, 3, 1) == datetime(2104, 2, 29, tzinfo=timezone.utc) and after("0 0 31 2 *", 2024, 1, 1) is None
+    held = spark.createDataFrame([("a", "@every 5m"), ("b", "@daily")], "entry_id string, spec string")
+    new = spark.createDataFrame([("a", "@every 90s"), (None, "@every 1s")], "entry_id string, spec string")
+    found = {r.spec: r.seconds for r in schedule.every_entries(schedule.register(held, new)).collect()}
+    assert found == {"@every 90s": 90, "@every 1s": 1}
+    sets = spark.createDataFrame([("q", "g", "s1", 1), ("q", "g", "s2", 2)], "queue string, group_key string, set_id string, id int")
+    assert [r.id for r in grouping.delete_sets(sets, sets.where("id = 1")).collect()] == [2]

@@ -50,29 +50,42 @@ def with_status(requests: DataFrame, tasks: DataFrame, arrival: str) -> DataFram
     return joined.withColumn("status", F.when(F.col("taken").isNull() & (F.col("nth") == 1), 1).otherwise(0)).drop("nth", "taken")
 
 
-def unique(requests: DataFrame, key: list[str], at: str, ttl: int, tie: str) -> DataFrame:
-    """``requests`` with accepted: whether no accepted one of the same key came less than ``ttl`` seconds before.
+def unique_status(requests: DataFrame, tasks: DataFrame, key: list[str], at: str, ttl: str, tie: str) -> DataFrame:
+    """``requests`` (queue, id among their columns) with status: -1 the key is locked, 0 the id is taken, 1 added.
+
+    The lock is taken before the id is looked up, and stays when the id is taken;
+    column ``ttl`` has each request's lock time in seconds.
+    """
+    locked = unique(requests, key, at, ttl, tie)
+    open_ = with_status(locked.where("accepted"), tasks, tie)
+    return open_.unionByName(locked.where("not accepted").withColumn("status", F.lit(-1))).drop("accepted")
+
+
+def unique(requests: DataFrame, key: list[str], at: str, ttl: int | str, tie: str) -> DataFrame:
+    """``requests`` with accepted: whether the lock of no accepted one of the same key still holds; ``ttl`` is its seconds, or their column.
 
     A refused request doesn't prolong the lock, so the rows of a key are taken
-    in turn. Where two neighbours lie ``ttl`` apart any lock has run out by the
-    second; a key's rows are cut there, and the bursts are dealt out by themselves,
+    in turn. Where a row comes after the end of every lock that those before it
+    can have taken, a key's rows are cut, and the bursts are dealt out by themselves,
     sorted, and folded row by row, with no burst held in memory.
     """
     order = Window.partitionBy(*key).orderBy(at, tie)
-    gap = epoch_micros(F.col(at)) - F.lag(epoch_micros(F.col(at))).over(order)
-    cut = requests.withColumn("_new", F.coalesce((gap >= ttl * 1_000_000).cast("int"), F.lit(1)))
-    cut = cut.withColumn("_burst", F.sum("_new").over(order)).withColumn("_at", epoch_micros(F.col(at))).drop("_new")
+    seconds = F.lit(ttl) if isinstance(ttl, int) else F.col(ttl)
+    timed = requests.withColumn("_at", epoch_micros(F.col(at))).withColumn("_until", F.col("_at") + seconds.cast("bigint") * 1_000_000)
+    last = F.max("_until").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = timed.withColumn("_new", F.coalesce((F.col("_at") >= last).cast("int"), F.lit(1)))
+    cut = cut.withColumn("_burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
     names = requests.columns
     parts = [*key, "_burst"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, 0
+        last, until = None, 0
         for batch in batches:
             out = []
-            for burst, moment in zip(zip(*(batch[c] for c in parts)), batch["_at"]):
-                free = burst != last or moment - held >= ttl * 1_000_000
-                held = moment if free else held
+            for burst, moment, end in zip(zip(*(batch[c] for c in parts)), batch["_at"], batch["_until"]):
+                free = burst != last or moment >= until
+                until = end if free else until
                 last = burst
                 out.append(free)
             yield batch.assign(accepted=out)[[*names, "accepted"]]

@@ -40,3 +40,8 @@ def group_aggregate(members: DataFrame) -> DataFrame:
 def reclaim(sets: DataFrame, now: str) -> DataFrame:
     """Members (with set_id, deadline) whose set is past its deadline, back in their group."""
     return sets.where(F.col("deadline") <= now_of(now)).withColumn("set_id", F.lit(None).cast("string"))
+
+
+def delete_sets(members: DataFrame, done: DataFrame) -> DataFrame:
+    """``members`` (queue, group_key, set_id, ...) without those of the sets in ``done`` (queue, group_key, set_id)."""
+    return members.join(done.select("queue", "group_key", "set_id").distinct(), ["queue", "group_key", "set_id"], "left_anti")

@@ -10,6 +10,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideq.functions.scalar import every_seconds
+
 # Names that stand for cron lines.
 DESCRIPTORS = {
     "@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0",
@@ -73,11 +75,16 @@ class Cron:
         return t.month in self.month and (day and week if self.any_day or self.any_week else day or week)
 
     def after(self, moment: datetime) -> datetime | None:
-        """First time after ``moment`` (UTC, aware) that the line names, within five years."""
+        """First time after ``moment`` (UTC, aware) that the line names; none if no day ever fits.
+
+        Weekdays and leap years repeat after 400 years, so that many are looked through, months at a time where none of their days count.
+        """
         t = moment.astimezone(self.zone).replace(second=0, microsecond=0, tzinfo=None) + timedelta(minutes=1)
-        end = t + timedelta(days=5 * 366)
+        end = datetime(min(t.year + 401, 9999), 1, 1)
         while t < end:
-            if not self._on(t):
+            if t.month not in self.month:
+                t = (t.replace(day=1, hour=0, minute=0) + timedelta(days=32)).replace(day=1)
+            elif not self._on(t):
                 t = t.replace(hour=0, minute=0) + timedelta(days=1)
             elif t.hour not in self.hour:
                 t = t.replace(minute=0) + timedelta(hours=1)
@@ -122,3 +129,18 @@ def periodic_diff(desired: DataFrame, registered: DataFrame, key: list[str]) ->
     both = desired.select(*key, F.lit(1).alias("d"), F.lit(0).alias("r")).unionByName(registered.select(*key, F.lit(0).alias("d"), F.lit(1).alias("r")))
     side = both.groupBy(*key).agg(F.max("d").alias("d"), F.max("r").alias("r"))
     return side.select(*key, F.when(F.col("r") == 0, "added").when(F.col("d") == 0, "stale").otherwise("unchanged").alias("change"))
+
+
+def every_entries(entries: DataFrame) -> DataFrame:
+    """The entries whose ``spec`` is an ``@every`` line, with seconds: rows for ``interval_ticks`` and ``due``."""
+    return entries.withColumn("seconds", every_seconds(F.col("spec"))).where("seconds is not null")
+
+
+def register(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """``entries`` with those of ``new``, which take the place of entries of the same entry_id; one without an id gets a random one."""
+    named = new.withColumn("entry_id", F.coalesce("entry_id", F.uuid()))
+    return unregister(entries, named).unionByName(named)
+
+
+def unregister(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    return entries.join(ids.select("entry_id").distinct(), "entry_id", "left_anti")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideq.functions.scalar import now_of
+from tideq.functions.scalar import backoff_nanos, epoch, now_of
 
 GRACE_SECONDS = 30
+LEASE_ERROR = "task lease expired"
 
 
 def forward(tasks: DataFrame, now: str) -> DataFrame:
@@ -31,3 +32,30 @@ def lease_expired(tasks: DataFrame, now: str) -> DataFrame:
 def recover(tasks: DataFrame, now: str) -> DataFrame:
     """Tasks with expired leases, with new_state: archived if their retries are used up, else retry."""
     return lease_expired(tasks, now).withColumn("new_state", F.when(F.col("retried") >= F.col("retry"), "archived").otherwise("retry"))
+
+
+def recover_fully(tasks: DataFrame, now: str, jitter: Column, is_failure: Column | None = None, delay: Column | None = None) -> DataFrame:
+    """As ``recover``, with what the task holds afterwards: retry_at, retried, error and last_failed_at.
+
+    An archived task isn't due again and keeps its count. ``delay`` (seconds)
+    takes the place of the default backoff; a lost lease counts as a failure
+    unless ``is_failure`` says otherwise, and only then as retried and as failed.
+    """
+    failure = F.lit(True) if is_failure is None else is_failure
+    wait = F.call_function("div", backoff_nanos(F.col("retried"), jitter), F.lit(10**9)) if delay is None else delay
+    again = F.col("new_state") == "retry"
+    clock = epoch(now_of(now))
+    return recover(tasks, now).withColumns(
+        {
+            "retry_at": F.when(again, clock + wait),
+            "retried": F.when(again & failure, F.col("retried") + 1).otherwise(F.col("retried")),
+            "error": F.lit(LEASE_ERROR),
+            "last_failed_at": F.when(~again | failure, clock),
+        }
+    )
+
+
+def recover_result(recovered: DataFrame) -> DataFrame:
+    """queue, retried, archived, total of recovered tasks."""
+    count = lambda state: F.count_if(F.col("new_state") == state)
+    return recovered.groupBy("queue").agg(count("retry").alias("retried"), count("archived").alias("archived"), F.count("*").alias("total"))

@@ -610,3 +610,74 @@ def option_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select id, cast(json_extract(payload, '$.k') as bigint) as k from tasks")
 def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).select("id", F.from_json("payload", "k bigint")["k"].alias("k"))
+
+
+# ---- unique enqueue, recovery and texts in full ------------------------------
+
+
+@query(
+    """, e as (select case user_id % 3 when 0 then 'critical' when 1 then 'default' else 'low' end as queue, cast(event_id // 2 + 3000 as varchar) as id,
+    user_id, event_type, event_id, ts, 600 + event_id % 5 * 1800 as ttl, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from events),
+f as (select *, true as free, ts + to_seconds(ttl) as until from e where rn = 1
+  union all select e.*, e.ts >= f.until, case when e.ts >= f.until then e.ts + to_seconds(e.ttl) else f.until end
+  from f join e on e.user_id = f.user_id and e.event_type = f.event_type and e.rn = f.rn + 1),
+n as (select *, row_number() over (partition by queue, id, free order by event_id) as nth from f)
+select n.event_id, n.queue, n.id, case when not free then -1 when nth = 1 and t.id is null then 1 else 0 end as status
+from n left join tasks t on t.queue = n.queue and t.id = n.id"""
+)
+def enqueue_unique_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = read(spark, sf_dir, "events").selectExpr(
+        "case user_id % 3 when 0 then 'critical' when 1 then 'default' else 'low' end queue", "cast(event_id div 2 + 3000 as string) id",
+        "user_id", "event_type", "event_id", "ts", "600 + event_id % 5 * 1800 ttl",
+    )
+    found = enqueue.unique_status(requests, tasks(spark, sf_dir), ["user_id", "event_type"], "ts", "ttl", "event_id")
+    return found.select("event_id", "queue", "id", "status")
+
+
+ORACLE_SQL["enqueue_unique_status"] = ORACLE_SQL["enqueue_unique_status"].replace("with tasks", "with recursive tasks", 1)
+
+_RECOVERED = """select queue, id, retried >= retry as over, case when retried >= retry then 'archived' else 'retry' end as new_state,
+  case when retried < retry then cast(epoch($NOW) as bigint) + retried ** 4 + 15 + pos % 30 * (retried + 1) end as retry_at,
+  case when retried < retry then retried + 1 else retried end as retried, 'task lease expired' as error, cast(epoch($NOW) as bigint) as last_failed_at
+from tasks where state = 'active' and lease_expires_at <= $NOW - interval 30 second"""
+
+
+@query(f"select queue, id, new_state, cast(retry_at as bigint) as retry_at, retried, error, last_failed_at from ({_RECOVERED})")
+def recover_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = timers.recover_fully(tasks(spark, sf_dir), NOW, F.col("pos") % 30)
+    return found.select("queue", "id", "new_state", "retry_at", "retried", "error", "last_failed_at")
+
+
+@query(f"select queue, count(*) filter (not over) as retried, count(*) filter (over) as archived, count(*) as total from ({_RECOVERED}) group by queue")
+def recover_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timers.recover_result(timers.recover_fully(tasks(spark, sf_dir), NOW, F.col("pos") % 30))
+
+
+@query(
+    """with s as (select o_orderkey as k, cast(o_orderkey * 7919 % 86413 * cast(10 ** (o_orderkey % 9) as bigint) as bigint) as n from orders),
+p as (select *, n // 3600000000000 as h, n // 60000000000 % 60 as m, n // 1000000000 as t, n % 1000000000 as f from s)
+select k, n, case when n = 0 then '0s' when t = 0 and n >= 1000000 then rtrim(rtrim(printf('%.6f', n / 1000000.0), '0'), '.') || 'ms'
+  when t = 0 and n >= 1000 then rtrim(rtrim(printf('%.3f', n / 1000.0), '0'), '.') || 'µs' when t = 0 then n || 'ns'
+  else case when h > 0 then h || 'h' else '' end || case when h > 0 or m > 0 then m || 'm' else '' end || (t % 60) ||
+    case when f > 0 then '.' || rtrim(lpad(cast(f as varchar), 9, '0'), '0') else '' end || 's' end as shown,
+  n as parsed, greatest(n // 1000000000, 1) as every from p""",
+    on_tasks=False,
+)
+def spans_in_nanoseconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = read(spark, sf_dir, "orders").selectExpr("o_orderkey k", "o_orderkey * 7919 % 86413 * cast(power(10, o_orderkey % 9) as bigint) n")
+    shown = spans.withColumn("shown", scalar.format_nanos(F.col("n")))
+    return shown.select("k", "n", "shown", scalar.duration_nanos(F.col("shown")).alias("parsed"), scalar.every_seconds(F.concat(F.lit("@every "), "shown")).alias("every"))
+
+
+@query(
+    """select id, 'Queue("' || queue || '"), TaskID("' || id || '"), MaxRetry(' || retry || '), Timeout(30m0s), Deadline(' || d || '), Unique(1.5s), ProcessAt(' || d || '), ProcessIn(2ms), Retention(1h0m0s)'
+  || case when group_key <> '' then ', Group("' || group_key || '")' else '' end as options
+from (select *, strftime(lease_expires_at, '%a %b ') || lpad(cast(day(lease_expires_at) as varchar), 2, ' ') || strftime(lease_expires_at, ' %H:%M:%S UTC %Y') as d from tasks)"""
+)
+def option_texts_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("lease_expires_at")
+    options = {
+        "Queue": F.col("queue"), "TaskID": F.col("id"), "MaxRetry": F.col("retry"), "Timeout": F.lit(1800 * 10**9), "Deadline": at, "Unique": F.lit(1_500_000_000), "ProcessAt": at,
+        "ProcessIn": F.lit(2_000_000), "Retention": F.col("retention") * 10**9, "Group": F.when(F.col("group_key") != "", F.col("group_key")),
+    }
+    return tasks(spark, sf_dir).select("id", F.array_join(scalar.all_option_strings(options), ", ").alias("options"))
