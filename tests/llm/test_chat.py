@@ -16,7 +16,7 @@ def test_layouts_and_round_trip(spark):
         (9, '{"messages":[{"role":"user","content":{"parts":["deep"]}}]}'),
         (10, '{"messages":[{"role":"user","content":{"parts":[{"a":[{"b":1}]}]}}]}'),
         (11, '{"messages":[{"role":"user","content":{"parts":[{"a":[{"c":1}]}]}}]}'),
-        (12, '{"messages":[{"role":"user","content":7},{"role":"assistant","content":8}]}'),
+        (12, '{"messages":[{"role":"user","content":7},{"role":"assistant","content":"8"}]}'),
         (13, '{"messages":[{"role":"user","content":"x"},{"role":"assistant","content":["x"]}]}'),
     ]
     out = chat.format_chats(spark.createDataFrame(rows, "conv_id int, record string"))
@@ -46,3 +46,10 @@ def test_conversations_come_in_several_layouts(spark):
     assert {r.layout_name for r in got} == {"messages", "share", "turns"}
     want = {i: [(x[2], x[3]) for x in rows if x[0] == i] for i in range(40)}
     assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in got} == want
+
+
+def test_very_long_conversations(spark):
+    """Far beyond what the engine parses as a variant: in many turns, in one, and full of escapes."""
+    rows = spark.sql("select 1L conv_id, id turn, 'user' role, repeat(concat('ab', char(10), char(34)), 300000) text from range(20) union all select 2L, 0L, 'assistant', repeat('x', 22000000)")
+    got = {r.conv_id: r for r in chat.digest(chat.format_chats(chat.as_records(rows))).collect()}
+    assert got[1].n_turns == 20 and got[1].formatted_chars == 20 * (1_200_000 + 28) and got[2].loss_chars == 22_000_000

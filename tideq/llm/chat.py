@@ -71,13 +71,19 @@ MAPPINGS = (
 _SCALAR = r"(: |<)(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>])"
 
 
+#: A string of JSON; possessive, as it may be very long.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
 def field_paths(record: Column) -> Column:
     """The nested fields of a JSON object at any depth, as one text: names in order, the fields of a list those of all its members.
 
     A field that is of several types among them has a shape of its own, so that such records are left for repair.
-    What is no JSON gives an empty text, as do records over the engine's limit of 128 MiB.
+    What is no JSON gives an empty text. String values are taken out before the
+    record is parsed, as its shape doesn't depend on them and parsed JSON is limited in size.
     """
-    shape = F.schema_of_variant(F.try_parse_json(record))
+    bare = F.regexp_replace(record, rf"(?s)({_STRING}\s*+:)|{_STRING}", "$1")
+    shape = F.schema_of_variant(F.try_parse_json(F.regexp_replace(bare, r"(?<=[:,\[])(?=\s*+[,\]}])", "0")))
     return F.coalesce(F.regexp_replace(shape, _SCALAR, "$1"), F.lit(""))
 
 
@@ -105,7 +111,8 @@ def fingerprint(paths: Column) -> Column:
 
 def _turns(record: Column, mapping: Mapping) -> Column:
     if mapping.many:
-        members = F.from_json(F.get_json_object(record, f"$.{mapping.many}"), f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>")
+        kind = f"struct<`{mapping.many}`:array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>>"
+        members = F.from_json(record, kind, {"maxStringLen": str(2**31 - 1)})[mapping.many]
 
         def turn(x: Column) -> Column:
             role = F.coalesce(x[mapping.role], F.lit(""))
