@@ -69,3 +69,40 @@ def test_odd_rows(spark):
     assert got == [(0, 9), (3, 3), (3, 3), (5, 3), (9, 9)]
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
     assert rows.limit(1).select(simhash.hex_digits(F.lit(-1).cast("long"))).first()[0] == "f" * 16
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else float(a == b)
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """Scattered edits, one crowded group among them: what stays, against components of all pairs."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for group in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5_000, rng.integers(40, 400))]
+        for _ in range(40 if group == 0 else rng.integers(1, 6)):
+            edits = rng.integers(0, len(words), max(1, len(words) // 120))
+            texts.append(" ".join(f"e{x}" if i in edits else w for i, (w, x) in enumerate(zip(words, rng.integers(0, 5_000, len(words))))))
+    sets = [set(simhash.shingle_hashes(text, 5).tolist()) for text in texts]
+    fps = [simhash.fingerprint_of(text, 5) for text in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 or bin(fps[i] ^ fps[j]).count("1") <= 3:
+                links += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    print(links, len(texts), len(want), len(got - want))
+    assert links > 400
+    assert want <= got and len(got - want) <= 0.02 * (len(texts) - len(want))

@@ -16,6 +16,16 @@ shards that its ball overlaps. Within a shard the same splitting goes on, by
 the half and then by all bits, down to blocks that are compared exactly. A shard returns
 a spanning forest of its links, not the pairs.
 
+:func:`one_of_each` has to find similar shingle sets (Jaccard 0.8), which differ
+in about 10 of 64 bits; no tree prunes at that radius. To the trees' links it
+adds those of equal parts: the range of hashes is cut into ``PARTS`` parts, and
+the ``LEAST`` smallest of a text's hashes in a part make a key. Two texts of
+similarity 0.8 share a given key at odds of 0.8 ** LEAST, and one of all keys at
+over 0.99. Texts under one key are compared if they are at most ``CROWD``; in a
+more crowded key each meets the smallest and the largest, and what is like
+neither is cut finer by a second key of its own and met in the same way. Each
+pair is verified by its whole shingle sets, in Spark, hubs being salted.
+
 Defined results: null and empty texts, and texts without words, have the
 fingerprint zero and link like any other; rows with equal ids or texts are all
 returned; a null id takes part but is never a component's smallest id. An empty
@@ -25,6 +35,7 @@ table gives an empty result. Columns beyond the id and the text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideq.llm.common import broadcast_within, checkpointed, connected_components, free_name
+from tideq.llm.common import broadcast_within, checkpointed, connected_components, free_name, written
 
 #: Masks of the two trees.
 HALVES = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000)
@@ -43,28 +54,50 @@ SAMPLE = 32_768
 SHARD = 8_192
 #: Pairs that are compared at once.
 BLOCK = 1 << 19
+#: Parts of the range of hashes, and hashes of a part that make a key.
+PARTS, LEAST = 12, 4
+#: Texts under a key that are all compared.
+CROWD = 8
+#: Pairs of one hub that meet one copy of its shingles.
+HUB = 256
 
 
-def fingerprint_of(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash: a bit is set if it is in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """Unsigned XXH64 of each shingle, repeats included; of all words if they are fewer; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([digest(joined, 42)], dtype=np.uint64)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     end = start + sizes - 1
     n = len(words) - shingle + 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[a:b], 42) for a, b in zip(start[:n].tolist(), end[shingle - 1 :].tolist())), dtype=np.uint64, count=n
     )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are in over half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
-    for part in range(0, n, 65_536):
+    for part in range(0, len(hashes), 65_536):
         counts += np.unpackbits(hashes[part : part + 65_536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint_of(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash: a bit is set if it is in over half of the shingles' hashes."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def part_keys(distinct: np.ndarray) -> list[int]:
+    """A signed key for each part that holds any of the sorted ``distinct`` hashes, of its smallest ones."""
+    cuts = np.searchsorted(distinct, np.array([(k << 64) // PARTS for k in range(PARTS)], dtype=np.uint64))
+    parts = (distinct[a : min(b, a + LEAST)] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(distinct)]))
+    return [xxhash.xxh64_intdigest(part.tobytes(), 42) - (1 << 63) for part in parts if len(part)]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -215,10 +248,14 @@ def _links(distinct: DataFrame, radius: int) -> DataFrame:
     return routed.groupBy("tree", "leaf").applyInPandas(search, "u long, v long").distinct()
 
 
-def _grouped(marked: DataFrame, radius: int) -> DataFrame:
-    """fp, root, least_id of each distinct fingerprint of ``marked`` (doc_id, fp); root is the fingerprint that stands for its component."""
+def _grouped(marked: DataFrame, radius: int, more: DataFrame | None = None) -> DataFrame:
+    """fp, root, least_id of each distinct fingerprint of ``marked`` (doc_id, fp); root is the fingerprint that stands for its component.
+
+    ``more`` has links (u, v) of fingerprints beside those within ``radius``.
+    """
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = connected_components(_links(distinct, radius)).withColumnRenamed("node", "fp")
+    links = _links(distinct, radius)
+    roots = connected_components(links if more is None else links.unionByName(more)).withColumnRenamed("node", "fp")
     return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -231,21 +268,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
+def _met(keys: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of texts to verify, of ``keys`` (key, t, n); and the texts of crowded keys with the smallest and largest of these (lo, hi).
+
+    A crowded key's hub is the pair's v.
+    """
+
+    def alike(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
+
+    shared = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.min_by("n", "t").alias("lo_n"), F.max_by("n", "t").alias("hi_n"))
+    shared = written(shared.where("k > 1"))
+    two = shared.where((F.col("k") == 2) & alike("lo_n", "hi_n")).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    members = written(keys.join(shared.where("k > 2"), "key"))
+    few = members.where(F.col("k") <= CROWD).select("key", F.col("t").alias("u"), F.col("n").alias("u_n"))
+    some = few.join(few.select("key", F.col("u").alias("v"), F.col("u_n").alias("v_n")), "key").where((F.col("u") < F.col("v")) & alike("u_n", "v_n"))
+    crowded = members.where(F.col("k") > CROWD)
+    hubs = (crowded.where((F.col("t") != F.col(end)) & alike("n", f"{end}_n")).select(F.col("t").alias("u"), F.col(end).alias("v")) for end in ("lo", "hi"))
+    return reduce(DataFrame.unionByName, (x.select("u", "v") for x in (two, some, *hubs))).distinct(), crowded
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, key: Column, shingle: int, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) of texts those whose shingle sets have the Jaccard similarity; ``rows`` (row, t) says which row of ``docs``, told by ``key``, holds a text."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(text, shingle)).view(np.int64) for text in texts])
+
+    asked = written(pairs.groupBy("v").agg(F.count("*").alias("links")))
+    wanted = pairs.select(F.col("u").alias("t")).unionByName(asked.select(F.col("v").alias("t"))).distinct()
+    places = written(rows.join(wanted, "t").groupBy("t").agg(F.min("row").alias("row")))
+    found = docs.select(key.alias("row"), F.col(text_col).alias("text")).join(broadcast_within(places, 500_000), "row").select("t", "text").dropDuplicates(["t"])
+    sets = written(found.select("t", shingles("text").alias("s")))
+    # a hub's shingles are copied for every so many of its links
+    copies = F.ceil(F.col("links") / HUB).cast("int")
+    hubs = sets.withColumnRenamed("t", "v").join(asked, "v").select("v", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), F.col("s").alias("b"))
+    dealt = pairs.join(asked, "v").select("u", "v", F.pmod(F.xxhash64("u", "v"), copies).cast("int").alias("copy"))
+    both = dealt.join(sets.select(F.col("t").alias("u"), F.col("s").alias("a")), "u").join(hubs, ["v", "copy"])
+    sized = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("sizes"))
+    return written(sized.where(F.col("common") >= (F.col("sizes") - F.col("common")) * F.lit(similarity)).select("u", "v"))
+
+
+def _similar(docs: DataFrame, marked: DataFrame, text_col: str, key: Column, shingle: int, similarity: float) -> DataFrame:
+    """Links (u, v) of fingerprints, of texts whose shingle sets are similar; ``marked`` has row, fp, t (the text's hash), n (shingles), keys."""
+    texts = written(marked.where(F.size("keys") > 0).groupBy("t").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")))
+    pairs, crowded = _met(texts.select(F.explode("keys").alias("key"), "t", "n"), similarity)
+    pairs, rows = written(pairs), marked.select("row", "t")
+    first = _verified(pairs, docs, rows, text_col, key, shingle, similarity)
+
+    # texts of a crowded key that are like neither its smallest nor its largest
+    both = first.unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    rest = crowded.where("t <> lo and t <> hi").select("key", "t", "n", "lo", "hi")
+    for end in ("lo", "hi"):
+        rest = rest.join(both.select(F.col("u").alias("t"), F.col("v").alias(end)), ["t", end], "left_anti")
+    finer = rest.select("key", "t", "n").join(texts.select("t", "keys"), "t").select("key", "t", "n", F.explode("keys").alias("other")).where("key <> other")
+    more, _ = _met(finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "t", "n").distinct(), similarity)
+    more = written(more.join(pairs, ["u", "v"], "left_anti"))
+    found = first.unionByName(_verified(more, docs, rows, text_col, key, shingle, similarity))
+    for end in "uv":
+        found = found.join(texts.select(F.col("t").alias(end), F.col("fp").alias(f"{end}_fp")), end)
+    return found.select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v")).where("u <> v").distinct()
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null ids last), then of the smallest hash of the whole row.
 
+    Texts link if their fingerprints are within ``radius`` bits or the Jaccard
+    similarity of their shingle sets is at least ``similarity``.
     Rows are told apart by a hash of all their columns, not by their ids; of
     wholly equal rows one stays. Extra columns of any name are carried along.
     """
     row, fate = free_name(docs, "row"), free_name(docs, "fate")
     key = F.xxhash64(*(F.to_json(F.col(c)) if kind.startswith("map") else F.col(c) for c, kind in docs.dtypes))
 
-    @F.pandas_udf("long")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint_of(text, shingle) for text in texts], dtype=np.uint64).view(np.int64))
-
-    marked = checkpointed(docs.select(key.alias("row"), F.col(id_col).cast("long").alias("doc_id"), fingerprint(text_col).alias("fp")))
-    placed = marked.join(_grouped(marked.select("doc_id", "fp"), radius).select("fp", "root"), "fp").groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    @F.pandas_udf("fp long, t long, n long, keys array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        found = []
+        for text in texts:
+            hashes = shingle_hashes(text, shingle)
+            distinct = np.unique(hashes)
+            # the hashes' own hash: texts of equal shingles in equal order
+            whole = xxhash.xxh64_intdigest(hashes.tobytes(), 42) - (1 << 63)
+            found.append((np.uint64(majority(hashes)).view(np.int64), whole, len(distinct), part_keys(distinct)))
+        return pd.DataFrame(found, columns=["fp", "t", "n", "keys"])
+
+    marked = docs.select(key.alias("row"), F.col(id_col).cast("long").alias("doc_id"), sketch(text_col).alias("x"))
+    marked = written(marked.select("row", "doc_id", "x.*"))
+    links = _similar(docs, marked, text_col, key, shingle, similarity)
+    placed = marked.join(_grouped(marked.select("doc_id", "fp"), radius, links).select("fp", "root"), "fp").groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     stays = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays"))
     # only rows that go, or of which there are several, are looked up
     fates = placed.join(stays, "root").select(F.col("row").alias(row), F.when(F.col("row") != F.col("stays.row"), F.lit(0)).when(F.col("n") > 1, F.lit(1)).alias(fate)).where(F.col(fate).isNotNull())
