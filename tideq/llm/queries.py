@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideq.llm import ann, bpe, chat, contain, licenses, lines, pages, pii, quality, simhash
+from tideq.llm import align, ann, bpe, chat, contain, fim, licenses, lines, lm, pages, pii, quality, simhash
 from tideq.llm.common import table
 
 
@@ -73,7 +73,21 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_main_text, op3_quality_gam, op4_simhash_vptree, op5_fuzzy_lines, op6_chat_format, op7_byte_bpe, op8_minhash_containment, op9_projected_ann, op10_pii_spans)}
+def op11_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op12_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents")), with_text=False)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_main_text, op3_quality_gam, op4_simhash_vptree, op5_fuzzy_lines, op6_chat_format, op7_byte_bpe, op8_minhash_containment, op9_projected_ann, op10_pii_spans, op11_deleted_interpolation, op12_piece_table, op13_token_alignment)}
 
 ORACLE_SQL = {
     "op6_chat_format": r"""
@@ -107,5 +121,19 @@ with words as (
 select d.id as doc_id, i.id as item_id, count(*) as shared, any_value(n) as n_shingles, count(*) / any_value(n) as containment
 from shingles d join shingles i on d.s = i.s and d.kind = 'd' and i.kind = 'i' join sizes on sizes.id = i.id
 group by d.id, i.id having count(*) / any_value(n) >= 0.8
+""",
+    "op12_piece_table": r"""
+with seeds as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as seed from documents),
+drawn as (
+  select *, length(text) as n, cast('0x' || seed[1:8] as bigint) as h1, cast('0x' || seed[9:16] as bigint) as h2,
+    cast('0x' || seed[17:24] as bigint) as h3, cast('0x' || seed[25:32] as bigint) as h4 from seeds
+), cuts as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form from drawn
+), parts as (select *, substring(text, 1, a) as prefix, substring(text, a + 1, b - a) as middle, substring(text, b + 1) as suffix from cuts)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256 from parts
 """,
 }
