@@ -234,7 +234,7 @@ def held_out(remainder: int = 2, of: int = 7) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of == remainder
 
 
-def score_texts(docs: DataFrame, held: Column | None = None, order: int = 3, block_chars: int = 8_000_000, tuning_of: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column | None = None, order: int = 3, block_chars: int = 3_000_000, tuning_of: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of ``docs`` (doc_id, text); ``held`` says which rows aren't learned from.
 
     One in ``tuning_of`` training texts, by a hash of the text, is held back for the weights.
