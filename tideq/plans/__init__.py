@@ -1,0 +1,3 @@
+"""Registered queries; importing this package registers them all."""
+
+from tideq.plans import registry, streams  # noqa: F401

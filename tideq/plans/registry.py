@@ -20,13 +20,14 @@ _STATES = ", ".join(f"count(*) filter (state = '{s}') as {s}" for s in scalar.ST
 FLUSH = {"max_size": 44, "max_delay": 444 * 3600, "grace": 8 * 3600}
 
 
-def query(sql: str | None = None, on_tasks: bool = True) -> Callable:
+def query(sql: str | None = None, on_tasks: bool = True, recursive: bool = False) -> Callable:
     """Registers a query, with its SQL if there is any; ``$NOW`` is the clock, and ``tasks`` the task table unless not ``on_tasks``."""
+    tasks_sql = _TASKS.replace("with", "with recursive", 1) if recursive else _TASKS
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = (_TASKS if on_tasks else "") + sql.replace("$NOW", _CLOCK)
+            ORACLE_SQL[f.__name__] = (tasks_sql if on_tasks else "") + sql.replace("$NOW", _CLOCK)
         return f
 
     return add

@@ -1,13 +1,20 @@
-"""Streaming twins of the timers, the group flush and the uniqueness lock."""
+"""Streaming twins of the timers, the group flush, the uniqueness lock and cancellations.
+
+Rows of a key wait in its state until the watermark has passed them, and are then
+taken in order of time and id, so that the result doesn't depend on the batches
+in which they came. What a timer has closed leaves the state. Clocks are the
+watermark, never the machine's time: a row or a deadline, in milliseconds rounded up, counts once the
+watermark has reached it. The watermark follows the rows that an operator takes. Rows that come behind the watermark are dropped by the engine.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def due_stream(tasks: DataFrame, clock: str) -> DataFrame:
@@ -26,23 +33,221 @@ def quiet_groups(events: DataFrame, grace: str, late: str) -> DataFrame:
     )
 
 
-def unique_stream(events: DataFrame, ttl: int) -> DataFrame:
-    """key, id, at of the events (key, id, at) that no accepted one of the key preceded by less than ``ttl`` seconds.
+def _millis(micros: int) -> int:
+    """Micros as milliseconds, rounded up."""
+    return -(-micros // 1000)
+
+
+def _micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+class InOrder(StatefulProcessor):
+    """Rows (id, at) of a key, handed to ``fold`` in order once the watermark has passed them."""
+
+    columns: tuple[str, ...] = ()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, id string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        first = None
+        for batch in rows:
+            at = _micros(batch["at"])
+            self.waiting.appendList(list(zip(at, batch["id"].tolist())))
+            first = min(at) if first is None else min(first, *at)
+        if first is not None:
+            self.handle.registerTimer(_millis(first))
+        yield self.frame([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        clock = timerValues.getCurrentWatermarkInMs()
+        every = list(self.waiting.get())
+        ready = sorted((r for r in every if _millis(r[0]) <= clock), key=lambda r: (r[0], r[1].encode()))
+        rest = [r for r in every if _millis(r[0]) > clock]
+        if ready:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        out, deadline = self.fold(ready, clock)
+        if rest:
+            self.handle.registerTimer(_millis(min(r[0] for r in rest)))
+        if deadline is not None:
+            self.handle.registerTimer(_millis(deadline))
+        yield self.frame([(*key, *row) for row in out])
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=list(self.columns))
+        for name in ("at", "closed_at"):
+            if name in self.columns:
+                out[name] = pd.to_datetime(out[name].astype("int64"), unit="us")
+        return out
+
+    def fold(self, rows: list[tuple[int, str]], clock: int) -> tuple[list[tuple], int | None]:
+        """What ``rows`` give, without the key, and when the key wants to be looked at again (micros)."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
 
-    The state of a key is the time of its last accepted event; events of one
-    batch are taken in order of time and id.
+
+class FlushRules(InOrder):
+    """Sets of a group's members: closed by size at once, or when the oldest is ``max_delay`` or the newest ``grace`` seconds old."""
+
+    columns = ("queue", "group_key", "id", "at", "set_no", "reason", "closed_at")
+
+    def __init__(self, max_size: int, max_delay: int, grace: int):
+        self.max_size, self.max_delay, self.grace = max_size, max_delay * 1_000_000, grace * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.members = handle.getListState("members", "at long, id string")
+        self.number = handle.getValueState("number", "n long")
+
+    def fold(self, rows: list[tuple[int, str]], clock: int) -> tuple[list[tuple], int | None]:
+        held = list(self.members.get())
+        number = self.number.get()[0] if self.number.exists() else 1
+        before, out = len(held), []
+
+        def deadline() -> tuple[int, str]:
+            by_grace = held[-1][0] + self.grace, "grace"
+            return min((held[0][0] + self.max_delay, "delay"), by_grace) if self.max_delay else by_grace
+
+        def close(at: int, reason: str) -> None:
+            nonlocal number
+            out.extend((id_, moment, number, reason, at) for moment, id_ in held)
+            held.clear()
+            number += 1
+
+        for row in rows:
+            if held and deadline()[0] <= row[0]:
+                close(*deadline())
+            held.append(tuple(row))
+            if len(held) == self.max_size:
+                close(row[0], "size")
+        if held and _millis(deadline()[0]) <= clock:
+            close(*deadline())
+        if out:
+            self.number.update((number,))
+            before = 0
+            self.members.clear()
+        if held[before:]:
+            self.members.appendList([tuple(r) for r in held[before:]])
+        return out, deadline()[0] if held else None
+
+
+def flush_stream(members: DataFrame, late: str, max_size: int, max_delay: int, grace: int) -> DataFrame:
+    """Closed sets of a stream of members (queue, group_key, id, at), a row a member: set_no counts a group's sets from 1.
+
+    A bound of 0 sets none. A deadline that falls on a member's time closes the set before it.
     """
+    rows = members.withWatermark("at", late).select("queue", "group_key", F.col("id").cast("string").alias("id"), "at")
+    schema = "queue string, group_key string, id string, at timestamp, set_no long, reason string, closed_at timestamp"
+    return rows.groupBy("queue", "group_key").transformWithStateInPandas(FlushRules(max_size, max_delay, grace), schema, "append", "EventTime")
+
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        kept = []
-        for at, id_ in zip(rows["at"].astype("datetime64[us]").astype("int64"), rows["id"]):
-            if held is None or at - held >= ttl * 1_000_000:
-                held = int(at)
-                kept.append((key[0], id_, pd.Timestamp(held, unit="us")))
-        if held is not None:
-            state.update((held,))
-        yield pd.DataFrame(kept, columns=["key", "id", "at"])
-
-    return events.groupBy("key").applyInPandasWithState(step, "key string, id long, at timestamp", "held long", "append", GroupStateTimeout.NoTimeout)
+class Lock(InOrder):
+    """The lock of a key: taken by a row when no earlier one holds it, and forgotten by a timer when it ends."""
+
+    columns = ("key", "id", "at", "accepted")
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.until = handle.getValueState("until", "until long")
+
+    def fold(self, rows: list[tuple[int, str]], clock: int) -> tuple[list[tuple], int | None]:
+        until, out = (self.until.get()[0] if self.until.exists() else None), []
+        for at, id_ in rows:
+            free = until is None or at >= until
+            until = at + self.ttl if free else until
+            out.append((id_, at, free))
+        if until is not None and _millis(until) <= clock:
+            self.until.clear()
+            return out, None
+        if until is not None:
+            self.until.update((until,))
+        return out, until
+
+
+def unique_stream(events: DataFrame, ttl: int, late: str = "0 seconds") -> DataFrame:
+    """key, id, at, accepted of the events (key, id, at): accepted if no accepted one of the key preceded by less than ``ttl`` seconds."""
+    rows = events.withWatermark("at", late).select("key", F.col("id").cast("string").alias("id"), "at")
+    return rows.groupBy("key").transformWithStateInPandas(Lock(ttl), "key string, id string, at timestamp, accepted boolean", "append", "EventTime")
+
+
+class Release(StatefulProcessor):
+    """One row of a key, kept until the watermark has passed its ``due``; a later row of the key takes its place."""
+
+    columns = ("queue", "id", "outcome", "due")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "due long, outcome string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        last = None
+        for batch in rows:
+            newest = max(zip(_micros(batch["at"]), _micros(batch["due"]), batch["outcome"].tolist()))
+            last = newest if last is None else max(last, newest)
+        out = []
+        if last is not None:
+            if self.kept.exists():
+                self.handle.deleteTimer(_millis(self.kept.get()[0]))
+            _, due, outcome = last
+            if _millis(due) <= timerValues.getCurrentWatermarkInMs():
+                self.kept.clear()
+                out = [(*key, outcome, due)]
+            else:
+                self.kept.update((due, outcome))
+                self.handle.registerTimer(_millis(due))
+        yield self.frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        out = []
+        if self.kept.exists():
+            due, outcome = self.kept.get()
+            out = [(*key, outcome, due)]
+            self.kept.clear()
+        yield self.frame(out)
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=list(self.columns))
+        return out.assign(due=pd.to_datetime(out["due"].astype("int64"), unit="us"))
+
+    def close(self) -> None:
+        pass
+
+
+def release_stream(rows: DataFrame, late: str, due: Column, outcome: Column) -> DataFrame:
+    """queue, id, outcome, due of each row (queue, id, at) of the stream once the watermark has passed ``due``; only then it leaves the state."""
+    timed = rows.withWatermark("at", late).select("queue", F.col("id").cast("string").alias("id"), "at", due.cast("timestamp").alias("due"), outcome.alias("outcome")).where("due is not null")
+    return timed.groupBy("queue", "id").transformWithStateInPandas(Release(), "queue string, id string, outcome string, due timestamp", "append", "EventTime")
+
+
+def forward_stream(tasks: DataFrame, late: str) -> DataFrame:
+    """Scheduled and retried tasks of a stream (with at), released at their process_at: into their group if they have one, else pending."""
+    waiting = tasks.where(F.col("state").isin("scheduled", "retry"))
+    return release_stream(waiting, late, F.col("process_at"), F.when(F.col("group_key") != "", "aggregating").otherwise("pending"))
+
+
+def expire_stream(tasks: DataFrame, late: str) -> DataFrame:
+    """Completed tasks of a stream (with at), expired when their retention is over."""
+    until = F.col("enqueued_at") + F.make_interval(secs=F.col("retention"))
+    return release_stream(tasks.where("state = 'completed'"), late, until, F.lit("expired"))
+
+
+def cancelled_stream(active: DataFrame, cancellations: DataFrame, late: str, within: str) -> DataFrame:
+    """Tasks (id, started_at) of a stream for which a cancellation (id, at) came from their start to ``within`` after it, once each.
+
+    Either side may come first; the join keeps no row longer than the interval
+    and the lateness ask. A cancellation before the start, later than the interval or behind
+    the watermark cancels nothing.
+    """
+    left = active.withWatermark("started_at", late).select("id", "started_at")
+    right = cancellations.withWatermark("at", late).select(F.col("id").alias("cancelled_id"), F.col("at").alias("cancelled_at"))
+    meets = F.expr(f"id = cancelled_id and cancelled_at >= started_at and cancelled_at <= started_at + interval {within}")
+    return left.join(right, meets, "inner").select("id", "started_at").dropDuplicatesWithinWatermark(["id"])
