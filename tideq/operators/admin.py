@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideq.operators.lifecycle import ARCHIVE_KEPT
+from tideq.operators.running import numbered
 
 RUNNABLE = ("scheduled", "retry", "archived", "completed", "aggregating")
 ARCHIVABLE = ("pending", "scheduled", "retry", "completed", "aggregating")
@@ -50,9 +51,8 @@ def run_all(tasks: DataFrame, states: tuple[str, ...], group: str | None = None)
     """Tasks of the states (of one group, if named) as pending, after all that are pending already."""
     chosen = _chosen(tasks, states, group)
     last = tasks.where("state = 'pending'").groupBy("queue").agg(F.max("pos").alias("last"))
-    order = Window.partitionBy("queue").orderBy("pos", "id")
     return (
-        chosen.withColumn("n", F.row_number().over(order)).join(last, "queue", "left")
+        numbered(chosen, ["queue"], F.col("pos"), ["pos", "id"], "n").join(last, "queue", "left")
         .withColumn("pos", F.coalesce("last", F.lit(0)) + F.col("n")).withColumn("state", F.lit("pending")).drop("n", "last")
     )
 

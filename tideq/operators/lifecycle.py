@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideq.functions.scalar import backoff_nanos, epoch, now_of
+from tideq.operators.running import numbered
 
 LEASE_SECONDS = 30
 DEFAULT_TIMEOUT_SECONDS = 1800
@@ -98,8 +99,7 @@ def archive_trim(tasks: DataFrame, now: str, kept: int = ARCHIVE_KEPT, days: int
 def requeue(tasks: DataFrame) -> DataFrame:
     """Active tasks put back before all pending ones of their queue, the last one put back first."""
     front = tasks.where("state = 'pending'").groupBy("queue").agg(F.min("pos").alias("front"))
-    back = Window.partitionBy("queue").orderBy("pos", "id")
-    active = tasks.where("state = 'active'").withColumn("n", F.row_number().over(back))
+    active = numbered(tasks.where("state = 'active'"), ["queue"], F.col("pos"), ["pos", "id"], "n")
     return active.join(front, "queue", "left").withColumn("pos", F.coalesce("front", F.lit(0)) - F.col("n")).withColumn("state", F.lit("pending")).drop("n", "front")
 
 

@@ -618,20 +618,21 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """, e as (select case user_id % 3 when 0 then 'critical' when 1 then 'default' else 'low' end as queue, cast(event_id // 2 + 3000 as varchar) as id,
-    user_id, event_type, event_id, ts, 600 + event_id % 5 * 1800 as ttl, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from events),
+    user_id, event_type, event_id, event_id * 7919 % 1000003 as tie, cast(date_trunc('hour', ts) as timestamp) as ts, 600 + event_id % 5 * 1800 as ttl,
+    row_number() over (partition by user_id, event_type order by date_trunc('hour', ts), event_id * 7919 % 1000003) as rn from events),
 f as (select *, true as free, ts + to_seconds(ttl) as until from e where rn = 1
   union all select e.*, e.ts >= f.until, case when e.ts >= f.until then e.ts + to_seconds(e.ttl) else f.until end
   from f join e on e.user_id = f.user_id and e.event_type = f.event_type and e.rn = f.rn + 1),
-n as (select *, row_number() over (partition by queue, id, free order by event_id) as nth from f)
+n as (select *, row_number() over (partition by queue, id, free order by ts, tie) as nth from f)
 select n.event_id, n.queue, n.id, case when not free then -1 when nth = 1 and t.id is null then 1 else 0 end as status
 from n left join tasks t on t.queue = n.queue and t.id = n.id"""
 )
 def enqueue_unique_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = read(spark, sf_dir, "events").selectExpr(
         "case user_id % 3 when 0 then 'critical' when 1 then 'default' else 'low' end queue", "cast(event_id div 2 + 3000 as string) id",
-        "user_id", "event_type", "event_id", "ts", "600 + event_id % 5 * 1800 ttl",
+        "user_id", "event_type", "event_id", "event_id * 7919 % 1000003 tie", "cast(date_trunc('hour', ts) as timestamp_ntz) ts", "600 + event_id % 5 * 1800 ttl",
     )
-    found = enqueue.unique_status(requests, tasks(spark, sf_dir), ["user_id", "event_type"], "ts", "ttl", "event_id")
+    found = enqueue.unique_status(requests, tasks(spark, sf_dir), ["user_id", "event_type"], "ts", "ttl", "tie")
     return found.select("event_id", "queue", "id", "status")
 
 
