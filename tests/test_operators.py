@@ -41,17 +41,55 @@ def test_text_functions(spark):
         ("?/15 * * * *", "2024-01-01 00:01", "2024-01-01 00:15"), ("@monthly", "2024-01-31 12:00", "2024-02-01 00:00"), ("0 0 13 * 5", "2024-09-01 00:00", "2024-09-06 00:00"), ("0 0 29 2 *", "2024-03-01 00:00", "2028-02-29 00:00"),
     ],
 )
-def test_cron(spec, after, want):
+def test_cron(spark, spec, after, want):
+    entries = spark.createDataFrame([(1, spec)], "entry_id long, spec string")
+    assert schedule.cron_next(entries, after + ":00").first().next_at.strftime("%Y-%m-%d %H:%M") == want
+
+
+BAD_SPECS = ["* * * * * *", "61 * * * *", "* * * *", "*/0 * * * *", "a * * * *", "", "5-1 * * * *", "*/2/3 * * * *", "1, * * * *", "TZ=Nowhere/Town * * * * *", "* * 0 * *", "* * * 13 *", "99999999999 * * * *"]
+
+
+def test_bad_cron(spark):
+    entries = spark.createDataFrame(list(enumerate(BAD_SPECS)), "entry_id long, spec string")
+    assert all(r.error for r in schedule.parsed(entries).collect())
+    ticks = schedule.cron_ticks(entries, "2024-01-01 00:00:00", "2024-01-02 00:00:00").collect()
+    assert sorted((r.entry_id, r.tick) for r in ticks) == [(i, None) for i in range(len(BAD_SPECS))]
+    assert {r.next_at for r in schedule.cron_next(entries, "2024-01-01 00:00:00").collect()} == {None}
+
+
+def minute_by_minute(zone, minutes, hours, days, months, weekdays, both, start, end):
+    """Times (UTC) whose local time fits, each local time once."""
     from datetime import timezone
+    from zoneinfo import ZoneInfo
 
-    got = schedule.Cron(spec).after(datetime.fromisoformat(after).replace(tzinfo=timezone.utc))
-    assert got.strftime("%Y-%m-%d %H:%M") == want
+    out, seen, t = [], set(), start + timedelta(minutes=1)
+    while t <= end:
+        local = t.replace(tzinfo=timezone.utc).astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+        day, week = local.day in days, (local.weekday() + 1) % 7 in weekdays
+        if local.minute in minutes and local.hour in hours and local.month in months and (day and week if both else day or week) and local not in seen:
+            out.append(t)
+        seen.add(local)
+        t += timedelta(minutes=1)
+    return out
 
 
-@pytest.mark.parametrize("spec", ["* * * * * *", "61 * * * *", "* * * *", "*/0 * * * *", "a * * * *"])
-def test_bad_cron(spec):
-    with pytest.raises(ValueError):
-        schedule.Cron(spec)
+EVERY = {"minutes": range(60), "hours": range(24), "days": range(1, 32), "months": range(1, 13), "weekdays": range(7), "both": True}
+
+
+@pytest.mark.parametrize(
+    ("spec", "zone", "fields"),
+    [
+        ("*/20 1-3 * * *", "America/New_York", {"minutes": (0, 20, 40), "hours": (1, 2, 3)}), ("30 2 * * *", "Europe/Berlin", {"minutes": (30,), "hours": (2,)}), ("15 */7 1-31/3 nov,MAR *", "Australia/Lord_Howe", {"minutes": (15,), "hours": (0, 7, 14, 21), "days": range(1, 32, 3), "months": (11, 3)}),
+        ("0 5 10 * 7", "Asia/Kolkata", {"minutes": (0,), "hours": (5,), "days": (10,), "weekdays": (0,), "both": False}), ("?-x/15 23 * * sun-tue", "UTC", {"minutes": (0, 15, 30, 45), "hours": (23,), "weekdays": (0, 1, 2)}), ("*-9 0 ? * ?", "UTC", {"hours": (0,)}),
+    ],
+)
+@pytest.mark.parametrize("start", ["2024-03-08 12:00:00", "2024-10-26 00:00:00"])
+def test_ticks_against_every_minute_where_clocks_change(spark, spec, zone, fields, start):
+    begin = datetime.fromisoformat(start)
+    end = begin + timedelta(days=9)
+    entries = spark.createDataFrame([(1, f"CRON_TZ={zone}  {spec}")], "entry_id long, spec string")
+    got = sorted(r.tick for r in schedule.cron_ticks(entries, start, end.isoformat(sep=" ")).collect())
+    assert got == minute_by_minute(zone, **{**EVERY, **fields}, start=begin, end=end)
 
 
 def test_uniqueness_is_greedy(spark):
@@ -134,12 +172,8 @@ def test_durations_quotes_and_instants(spark):
 
 
 def test_leap_days_over_a_century_and_entries(spark):
-    from datetime import datetime, timezone
-
-    from tideq.operators import grouping, schedule
-
-    after = lambda spec, *day: schedule.Cron(spec).after(datetime(*day, tzinfo=timezone.utc))
-    assert after("0 0 29 2 *", 2096, 3, 1) == datetime(2104, 2, 29, tzinfo=timezone.utc) and after("0 0 31 2 *", 2024, 1, 1) is None
+    specs = spark.createDataFrame([(1, "0 0 29 2 *"), (2, "0 0 31 2 *"), (3, "0 0 29 2 */7")], "entry_id long, spec string")
+    assert [r.next_at for r in schedule.cron_next(specs, "2096-03-01 00:00:00").orderBy("entry_id").collect()] == [datetime(2104, 2, 29), None, datetime(2128, 2, 29)]
     held = spark.createDataFrame([("a", "@every 5m"), ("b", "@daily")], "entry_id string, spec string")
     new = spark.createDataFrame([("a", "@every 90s"), (None, "@every 1s")], "entry_id string, spec string")
     found = {r.spec: r.seconds for r in schedule.every_entries(schedule.register(held, new)).collect()}

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
-from zoneinfo import ZoneInfo
+from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,86 +34,99 @@ def due(entries: DataFrame, now: Column) -> DataFrame:
     return fired.withColumn("task_id", task_id).withColumn("next_at", now + F.make_interval(secs=F.col("seconds")))
 
 
-def _field(text: str, low: int, high: int, names: dict[str, int]) -> set[int]:
-    out: set[int] = set()
-    for part in text.lower().split(","):
-        span, _, step = part.partition("/")
-        span = "*" if re.fullmatch(r"\?(-\w+)?|\*-\w+", span) else span
-        if step and not step.isdigit() or step == "0":
-            raise ValueError(f"step {step!r}")
-        if span == "*":
-            a, b = low, high
-        else:
-            begin, dash, end = span.partition("-")
-            a = names[begin] if begin in names else int(begin)
-            b = (names[end] if end in names else int(end)) if dash else (high if step else a)
-        if not low <= a <= b <= high:
-            raise ValueError(f"{part!r} is outside {low}-{high}")
-        out.update(range(a, b + 1, int(step or 1)))
-    return out
-
-
-class Cron:
-    """A cron line of five fields, or a descriptor, with an optional time zone before it."""
-
-    def __init__(self, spec: str):
-        text, self.zone = spec.strip(), timezone.utc
-        if match := re.match(r"(?:CRON_TZ|TZ)=(\S+)\s+(.*)$", text):
-            self.zone, text = ZoneInfo(match[1]), match[2]
-        fields = DESCRIPTORS.get(text, text).split()
-        if len(fields) != 5:
-            raise ValueError(f"{spec!r} has {len(fields)} fields, not 5")
-        self.minute, self.hour, self.day, self.month, week = (_field(f, *r) for f, r in zip(fields, _RANGES))
-        self.week = {d % 7 for d in week}
-        self.any_day, self.any_week = (f[0] in "*?" for f in (fields[2], fields[4]))
-
-    def _on(self, t: datetime) -> bool:
-        day, week = t.day in self.day, (t.weekday() + 1) % 7 in self.week
-        return t.month in self.month and (day and week if self.any_day or self.any_week else day or week)
-
-    def after(self, moment: datetime) -> datetime | None:
-        """First time after ``moment`` (UTC, aware) that the line names; none if no day ever fits.
-
-        Weekdays and leap years repeat after 400 years, so that many are looked through, months at a time where none of their days count.
-        """
-        t = moment.astimezone(self.zone).replace(second=0, microsecond=0, tzinfo=None) + timedelta(minutes=1)
-        end = datetime(min(t.year + 401, 9999), 1, 1)
-        while t < end:
-            if t.month not in self.month:
-                t = (t.replace(day=1, hour=0, minute=0) + timedelta(days=32)).replace(day=1)
-            elif not self._on(t):
-                t = t.replace(hour=0, minute=0) + timedelta(days=1)
-            elif t.hour not in self.hour:
-                t = t.replace(minute=0) + timedelta(hours=1)
-            elif t.minute not in self.minute:
-                t += timedelta(minutes=1)
-            else:
-                found = t.replace(tzinfo=self.zone).astimezone(timezone.utc)
-                if found.astimezone(self.zone).replace(tzinfo=None) == t and found > moment:
-                    return found
-                t += timedelta(minutes=1)
-        return None
+def _whole(text: Column) -> Column:
+    return F.when(text.rlike("^[0-9]{1,9}$"), text.cast("int"))
+
+
+def _field(text: Column, low: int, high: int, names: dict[str, int]) -> Column:
+    """The values of a cron field, sorted; null if it is malformed."""
+    named = F.create_map(*(F.lit(x) for pair in (names or {"": -1}).items() for x in pair))
+    number = lambda x: F.coalesce(F.element_at(named, x), _whole(x))
+
+    def values(part: Column) -> Column:
+        span, step = F.substring_index(part, "/", 1), F.when(part.contains("/"), F.regexp_replace(part, "^[^/]*/", ""))
+        every = span.rlike(r"^([*?]|\?-\w+|\*-\w+)$")
+        dash = span.contains("-")
+        begin = F.when(every, F.lit(low)).otherwise(number(F.substring_index(span, "-", 1)))
+        end = F.when(every, F.lit(high)).when(dash, number(F.regexp_replace(span, "^[^-]*-", ""))).when(step.isNotNull(), F.lit(high)).otherwise(begin)
+        by = F.when(step.isNull(), F.lit(1)).otherwise(_whole(step))
+        return F.when((begin >= low) & (begin <= end) & (end <= high) & (by >= 1), F.sequence(begin, end, by))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(F.lower(text), ",", -1), values))))
+
+
+def parsed(entries: DataFrame) -> DataFrame:
+    """``entries`` (spec) with zone, error, and what the cron line names: minutes, hours, days, months, weekdays and whether day or weekday is free.
+
+    A line has five fields, or is a descriptor; a time zone may stand before it. The error of a wrong line is text, its other columns are null.
+    """
+    prefix = r"^(?:CRON_TZ|TZ)=(\S+)\s+"
+    spec = F.trim(F.regexp_replace("spec", r"^\s+|\s+$", ""))
+    line = F.regexp_replace(spec, prefix, "")
+    known = F.create_map(*(F.lit(x) for pair in DESCRIPTORS.items() for x in pair))
+    fields = F.split(F.coalesce(F.element_at(known, line), line), r"\s+", -1)
+    zone = F.when(spec.rlike(prefix), F.regexp_extract(spec, prefix, 1)).otherwise("UTC")
+    rows = entries.withColumns({"_fields": fields, "zone": zone})
+    five = F.size("_fields") == 5
+    names = ("minutes", "hours", "days", "months", "weekdays")
+    rows = rows.withColumns({n: F.when(five, _field(F.get("_fields", F.lit(i)), *_RANGES[i])) for i, n in enumerate(names)})
+    wrong = F.concat_ws(", ", *(F.when(F.col(n).isNull(), n) for n in names))
+    error = (
+        F.when(~five, F.concat(F.size("_fields").cast("string"), F.lit(" fields, not 5")))
+        .when(wrong != "", F.concat(F.lit("malformed: "), wrong))
+        .when(~F.expr(f"zone in ({', '.join(map(repr, sorted(available_timezones())))})"), F.concat(F.lit("unknown time zone "), F.col("zone")))
+    )
+    free = lambda i: F.get("_fields", F.lit(i)).rlike("^[*?]")
+    rows = rows.withColumns({"error": error, "any_day": free(2), "any_weekday": free(4)})
+    week = F.array_distinct(F.transform("weekdays", lambda d: d % 7))
+    return rows.withColumn("weekdays", week).drop("_fields")
+
+
+def _fits(day: Column) -> Column:
+    """Whether a date is one that the line of the row names: day and weekday both count where one of them is free, else either."""
+    by_day, by_week = F.array_contains("days", F.dayofmonth(day)), F.array_contains("weekdays", F.dayofweek(day) - 1)
+    return F.array_contains("months", F.month(day)) & F.when(F.col("any_day") | F.col("any_weekday"), by_day & by_week).otherwise(by_day | by_week)
+
+
+def _ticks(rows: DataFrame) -> DataFrame:
+    """``rows`` (parsed, with day) with tick (UTC) for each hour and minute of the day, in the row's zone; local times that a change of the clocks leaves out have none."""
+    each = rows.withColumn("_hour", F.explode("hours")).withColumn("_minute", F.explode("minutes"))
+    local = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("_hour"), F.col("_minute"))
+    timed = each.withColumn("_local", local).withColumn("tick", F.convert_timezone(F.col("zone"), F.lit("UTC"), F.col("_local")))
+    back = F.convert_timezone(F.lit("UTC"), F.col("zone"), F.col("tick"))
+    return timed.where(back == F.col("_local")).drop("_hour", "_minute", "_local")
+
+
+def _local_date(moment: str, zone: Column) -> Column:
+    return F.to_date(F.convert_timezone(F.lit("UTC"), zone, F.lit(moment).cast("timestamp_ntz")))
 
 
 def cron_ticks(entries: DataFrame, start: str, end: str) -> DataFrame:
-    """entry_id, spec, tick (UTC), error: each time after the start up to the end that the entry's cron line names."""
-
-    def run(batches: Iterator) -> Iterator:  # noqa: ANN401
-        import pandas as pd
-
-        first, last = (datetime.fromisoformat(x).replace(tzinfo=timezone.utc) for x in (start, end))
-        for batch in batches:
-            for entry_id, spec in zip(batch["entry_id"], batch["spec"]):
-                ticks, error, t = [], None, first
-                try:
-                    cron = Cron(spec)
-                    while (t := cron.after(t)) is not None and t <= last:
-                        ticks.append(t.replace(tzinfo=None))
-                except (ValueError, KeyError) as e:
-                    ticks, error = [None], str(e)
-                yield pd.DataFrame({"entry_id": entry_id, "spec": spec, "tick": pd.Series(ticks, dtype="datetime64[us]"), "error": error})
-
-    return entries.select("entry_id", "spec").mapInPandas(run, "entry_id long, spec string, tick timestamp_ntz, error string")
+    """entry_id, spec, tick (UTC), error: each time after the start up to the end that the entry's cron line names; one row with the error of a wrong line.
+
+    An entry meets the days of the span that its line names, these its hours and minutes: calendar rows come from the fields, no line is run minute by minute.
+    Where clocks are set back, the first of two equal local times counts.
+    """
+    lines = parsed(entries.select("entry_id", "spec"))
+    fine = lines.where("error is null")
+    days = F.filter(F.sequence(_local_date(start, F.col("zone")), _local_date(end, F.col("zone"))), _fits)
+    ticks = _ticks(fine.withColumn("day", F.explode(days)))
+    within = (F.col("tick") > F.lit(start).cast("timestamp_ntz")) & (F.col("tick") <= F.lit(end).cast("timestamp_ntz"))
+    wrong = lines.where("error is not null").select("entry_id", "spec", F.lit(None).cast("timestamp_ntz").alias("tick"), "error")
+    return ticks.where(within).select("entry_id", "spec", "tick", "error").unionByName(wrong)
+
+
+def cron_next(entries: DataFrame, now: str, years: int = 41) -> DataFrame:
+    """entry_id, spec, next_at (UTC): the first time after ``now`` that each entry's line names; null if none comes within ``years``, or the line is wrong.
+
+    A date and weekday that both must fit come again within 40 years, also across a century without a leap day.
+    """
+    lines = parsed(entries.select("entry_id", "spec"))
+    today = _local_date(now, F.col("zone"))
+    days = F.filter(F.sequence(today, F.add_months(today, 12 * years)), _fits)
+    first = lines.where("error is null").withColumn("day", F.explode(F.slice(days, 1, 4)))  # today may be over, and a day's times left out by the clocks
+    found = _ticks(first).where(F.col("tick") > F.lit(now).cast("timestamp_ntz")).groupBy("entry_id").agg(F.min("tick").alias("next_at"))
+    return lines.select("entry_id", "spec").join(found, "entry_id", "left")
 
 
 def periodic_key(spec: Column, kind: Column, payload: Column, options: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideq.operators import enqueue, grouping
+from tideq.operators import enqueue, grouping, leases
 from tideq.plans.registry import query
 from tideq.sources.tables import read, tasks
 
@@ -104,3 +104,53 @@ def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     spent = F.make_interval(secs=F.pmod(F.col("set_no") * 37, F.lit(150)))
     payloads = tasks(spark, sf_dir).where("state = 'aggregating'").select("queue", "id", "payload")
     return _sets(spark, sf_dir).withColumn("finished_at", F.col("check_at") + spent).join(payloads, ["queue", "id"])
+
+
+_BEATS = """select user_id as task_id, ts as at, event_id as tie, case when event_type = 'purchase' then 'start' when event_type = 'signup' then 'end' else 'beat' end as kind,
+  cast(3600 * (1 + event_id % 40) as bigint) as lease from {events}"""
+_RUNS = """with b as (select user_id as task_id, ts as moment, event_id as tie, event_type = 'purchase' as starts, ts + to_seconds(3600 * (1 + event_id % 40)) as until from events where event_type <> 'signup'),
+r as (select *, count(*) filter (starts) over (partition by task_id order by moment, tie) as run from b),
+h as (select *, max(until) over (partition by task_id, run order by moment, tie rows between unbounded preceding and 1 preceding) as held from r where run > 0),
+k as (select *, coalesce(sum(case when moment >= held + interval 7200 second then 1 else 0 end) over (partition by task_id, run order by moment, tie), 0) as lost from h),
+g as (select task_id, run, min(moment) as started_at, max(until) filter (lost = 0) as leased_until, count(*) filter (lost = 0) - 1 as extended, count(*) filter (lost > 0) as refused from k group by 1, 2),
+n as (select *, lead(started_at) over (partition by task_id order by run) as next_at from g)"""
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    beats = spark.sql(_BEATS, events=read(spark, sf_dir, "events")).where("kind <> 'end'")
+    return leases.lease_spans(beats, grace=7200)
+
+
+@query(f"{_RUNS} select task_id, run, started_at, leased_until, extended, refused from n", on_tasks=False)
+def lease_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir)[0]
+
+
+@query(
+    f"""{_RUNS} select task_id, run, held as gap_from, moment as gap_to, false as lost from k where lost = 0 and moment > held
+union all select task_id, run, leased_until, next_at, coalesce(next_at >= leased_until + interval 7200 second, true) from n where next_at is null or next_at > leased_until""",
+    on_tasks=False,
+)
+def lease_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir)[1]
+
+
+@query(
+    """select task_id, started_at from (select user_id as task_id, ts as started_at, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as rn
+  from events where event_type in ('purchase', 'signup')) where rn = 1 and event_type = 'purchase'""",
+    on_tasks=False,
+)
+def active_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beats = spark.sql(_BEATS, events=read(spark, sf_dir, "events"))
+    return leases.active_workers(beats).select("task_id", F.col("at").alias("started_at"))
+
+
+@query(
+    """select user_id as task_id, ts as moment, 'start' as kind from events
+union all select user_id, unnest(generate_series(ts + to_seconds(40), ts + to_seconds(user_id % 5 * 40 + event_id % 2) - interval 1 microsecond, to_seconds(40))), 'beat' from events
+""",
+    on_tasks=False,
+)
+def lease_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = read(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("ts").alias("started_at"), (F.col("ts") + F.make_interval(secs=F.col("user_id") % 5 * 40 + F.col("event_id") % 2)).alias("ended_at"))
+    return leases.extensions(runs, "every", 40).withColumnRenamed("at", "moment")

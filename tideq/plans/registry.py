@@ -533,11 +533,44 @@ def schedule_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.due(entries, scalar.now_of(NOW)).select("entry_id", "task_id", "next_at")
 
 
-@query()
+_SPECS = {
+    0: "concat('*/', 5 + s_suppkey % 4 * 5, ' * * * *')", 1: "concat('CRON_TZ=Asia/Tokyo ', s_suppkey % 60, ' 9 * * *')", 2: "concat('  ?/15 ', s_suppkey % 24, '-23/5 * * *')", 3: "'@daily'",
+    4: "'0 0 9,15 * mon'", 5: "'* * * * * *'", 6: "concat('TZ=America/New_York 30 ', s_suppkey % 24, ' * mar *')", 7: "concat('0 12 ', 1 + s_suppkey % 28, ' jan-mar/2 ?')",
+}
+_CRON_FROM, _CRON_TO = "2024-03-08 06:00:00", "2024-03-12 06:00:00"
+
+
+@query(
+    f"""with m as (select unnest(generate_series(timestamp '{_CRON_FROM}' + interval 1 minute, timestamp '{_CRON_TO}', interval 1 minute)) as t),
+z as (select t, t + interval 9 hour as tokyo, case when t >= timestamp '2024-03-10 07:00:00' then t - interval 4 hour else t - interval 5 hour end as york, hour(t) as h, minute(t) as mi, day(t) as d from m),
+s as (select s_suppkey as k, case s_suppkey % 8 {" ".join(f"when {k} then {v}" for k, v in _SPECS.items())} end as spec from supplier)
+select k as entry_id, spec, t as tick, null as error from s join z on case k % 8 when 0 then mi % (5 + k % 4 * 5) = 0 when 1 then hour(tokyo) = 9 and minute(tokyo) = k % 60
+  when 2 then mi % 15 = 0 and h >= k % 24 and (h - k % 24) % 5 = 0 when 3 then h = 0 and mi = 0 when 4 then h = 0 and mi = 0 and (d in (9, 15) or dayofweek(t) = 1)
+  when 6 then minute(york) = 30 and hour(york) = k % 24 when 7 then h = 12 and mi = 0 and d = 1 + k % 28 else false end
+union all select k, spec, null, '6 fields, not 5' from s where k % 8 = 5""",
+    on_tasks=False,
+)
 def cron_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = ("*/5 * * * *", "CRON_TZ=Asia/Tokyo 0 9 * * *", "?/15 * * * *", "@daily", "0 0 1,15 * mon", "* * * * * *")
-    entries = spark.createDataFrame(list(enumerate(specs)), "entry_id long, spec string")
-    return schedule.cron_ticks(entries, "2024-01-18 00:00:00", NOW)
+    return schedule.cron_ticks(_specs(spark, sf_dir), _CRON_FROM, _CRON_TO)
+
+
+@query(
+    f"""with m as (select unnest(generate_series(timestamp '{_CRON_FROM}' + interval 1 minute, timestamp '{_CRON_FROM}' + interval 33 day, interval 1 minute)) as t),
+z as (select t, t + interval 9 hour as tokyo, case when t >= timestamp '2024-03-10 07:00:00' then t - interval 4 hour else t - interval 5 hour end as york, hour(t) as h, minute(t) as mi, day(t) as d from m),
+s as (select s_suppkey as k, case s_suppkey % 8 {" ".join(f"when {k} then {v}" for k, v in _SPECS.items())} end as spec from supplier),
+f as (select k, min(t) as next_at from s join z on case k % 8 when 0 then mi % (5 + k % 4 * 5) = 0 when 1 then hour(tokyo) = 9 and minute(tokyo) = k % 60
+  when 2 then mi % 15 = 0 and h >= k % 24 and (h - k % 24) % 5 = 0 when 3 then h = 0 and mi = 0 when 4 then h = 0 and mi = 0 and (d in (9, 15) or dayofweek(t) = 1)
+  when 6 then minute(york) = 30 and hour(york) = k % 24 else false end group by k)
+select s.k as entry_id, spec, next_at from s left join f on f.k = s.k where s.k % 8 <> 7""",
+    on_tasks=False,
+)
+def cron_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.cron_next(_specs(spark, sf_dir).where("entry_id % 8 <> 7"), _CRON_FROM)
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = " ".join(f"when {k} then {v}" for k, v in _SPECS.items())
+    return read(spark, sf_dir, "supplier").selectExpr("s_suppkey entry_id", f"case s_suppkey % 8 {cases} end spec")
 
 
 @query(
