@@ -139,6 +139,24 @@ def instant(seconds: Column, nanos: Column) -> Column:
     return F.struct((seconds + whole).alias("seconds"), F.pmod(nanos, F.lit(1_000_000_000)).cast("int").alias("nanos"))
 
 
+def instant_of(ts: Column) -> Column:
+    """A time as (seconds, nanos): seconds rounded down, nanos from 0, before 1970 as well."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return F.struct(F.floor(micros / 1_000_000).cast("bigint").alias("seconds"), (F.pmod(micros, F.lit(1_000_000)) * 1000).cast("int").alias("nanos"))
+
+
+def time_of(instant: Column) -> Column:
+    """The time of (seconds, nanos), to microseconds; 1970 if there is none, null for the year 1 that stands for a time that never was."""
+    never = (instant["seconds"] == -62_135_596_800) & (instant["nanos"] == 0)
+    micros = F.coalesce(instant["seconds"], F.lit(0)) * 1_000_000 + F.call_function("div", F.coalesce(instant["nanos"], F.lit(0)), F.lit(1000))
+    return F.when(F.coalesce(never, F.lit(False)), F.lit(None)).otherwise(F.timestamp_micros(micros).cast("timestamp_ntz"))
+
+
+def nanos_between(later: Column, earlier: Column) -> Column:
+    """Signed nanoseconds from one time to another, as a decimal that holds any two times."""
+    return ((F.unix_micros(later.cast("timestamp")).cast("decimal(20,0)") - F.unix_micros(earlier.cast("timestamp"))) * 1000).cast("decimal(38,0)")
+
+
 def time_or_null(seconds: Column) -> Column:
     """The time of unix seconds; zero stands for none."""
     return F.when(seconds != 0, F.timestamp_seconds(seconds).cast("timestamp_ntz"))

@@ -47,6 +47,12 @@ def update_payload(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.withColumn("payload", F.col("new_payload")).drop("new_payload")
 
 
+def update_payload_codes(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """queue, id, result for each wanted task: 1 updated, 0 not found, -1 in a state whose payload can't be changed."""
+    joined = wanted.select("queue", "id").distinct().join(tasks.select("queue", "id", "state"), ["queue", "id"], "left")
+    return joined.select("queue", "id", F.when(F.col("state").isNull(), 0).when(F.col("state") == "scheduled", 1).otherwise(-1).alias("result"))
+
+
 def run_all(tasks: DataFrame, states: tuple[str, ...], group: str | None = None) -> DataFrame:
     """Tasks of the states (of one group, if named) as pending, after all that are pending already."""
     chosen = _chosen(tasks, states, group)

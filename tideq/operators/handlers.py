@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a handler may report besides success.
@@ -80,3 +80,50 @@ def aggregate_groups(members: DataFrame, aggregator: Callable[[str, list[str]],
         return pd.DataFrame({"queue": [key[0]], "group_key": [key[1]], "payload": [payload]})
 
     return members.groupBy("queue", "group_key").applyInPandas(run, "queue string, group_key string, payload string")
+
+
+#: What a handler may know of its task besides the payload.
+CONTEXT = ("id", "queue", "type", "retried", "retry", "deadline")
+
+
+class TypedMux:
+    """Types, each with a payload schema and a handler of columns, which runs where the rows are, without Python workers.
+
+    A handler takes the decoded payload and the context, both structs, and returns
+    its result, and its error (null: none; else one of ``ERRORS``, or any text for ``failed``).
+    """
+
+    def __init__(self) -> None:
+        self.handlers: dict[str, tuple[str, Callable[[Column, Column], tuple[Column, Column]]]] = {}
+
+    def handle(self, kind: str, schema: str, handler: Callable[[Column, Column], tuple[Column, Column]]) -> None:
+        """``schema`` is DDL of the JSON payload; fields of other names are passed over."""
+        if not kind.strip() or kind in self.handlers:
+            raise ValueError(f"type {kind!r} is blank or taken")
+        self.handlers[kind] = (schema, handler)
+
+    def run(self, tasks: DataFrame) -> DataFrame:
+        """``tasks`` (type, payload and columns of the context) with ok, error, message, result, each task decoded by its type's schema.
+
+        A payload that isn't JSON of the schema fails with 'failed to decode typed payload', a type without handler with
+        'handler not found'; neither reaches a handler. A null payload is an empty object.
+        """
+        context = F.struct(*(F.col(c) for c in CONTEXT if c in tasks.columns))
+        outcome = F.struct(F.lit("failed").alias("error"), F.concat(F.lit("handler not found for "), "type").alias("message"), F.lit(None).cast("string").alias("result"))
+        for kind, (schema, handler) in self.handlers.items():
+            text = F.coalesce(F.col("payload").cast("string"), F.lit("{}"))
+            decoded = F.from_json(text, f"{schema}, _wrong string", {"columnNameOfCorruptRecord": "_wrong"})
+            result, error = handler(decoded, context)
+            wrong = decoded["_wrong"].isNotNull() | decoded.isNull()
+            named = F.when(error.isNull(), F.lit(None).cast("string")).when(error.isin(*ERRORS), error).otherwise("failed")
+            fine = F.struct(named.alias("error"), error.cast("string").alias("message"), F.when(error.isNull(), result.cast("string")).alias("result"))
+            bad = F.struct(F.lit("failed").alias("error"), F.concat(F.lit("failed to decode typed payload for "), "type").alias("message"), F.lit(None).cast("string").alias("result"))
+            outcome = F.when(F.col("type") == kind, F.when(wrong, bad).otherwise(fine)).otherwise(outcome)
+        out = tasks.withColumn("_out", outcome)
+        return out.select(*tasks.columns, F.col("_out.error").isNull().alias("ok"), "_out.error", "_out.message", "_out.result")
+
+
+def failures(handled: DataFrame, hook: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The error side of handled tasks: what an error hook is given, and makes of it."""
+    failed = handled.where("not ok")
+    return failed if hook is None else hook(failed)

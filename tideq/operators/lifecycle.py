@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideq.functions.scalar import backoff_nanos, epoch, now_of
+from tideq.functions.scalar import backoff_nanos, epoch, is_blank, now_of
 from tideq.operators.running import numbered
 
 LEASE_SECONDS = 30
@@ -27,10 +27,16 @@ def dequeue(tasks: DataFrame, paused: DataFrame | None, now: str, order: DataFra
     return taken.withColumn("state", F.lit("active")).withColumn("lease_expires_at", now_of(now) + F.make_interval(secs=F.lit(LEASE_SECONDS)))
 
 
+def _named(priorities: DataFrame) -> DataFrame:
+    """Queues (queue, priority) that are named and have a priority above 0; the queue ``default`` if none has."""
+    fine = priorities.where(~is_blank(F.col("queue")) & (F.col("priority") > 0)).select("queue", F.col("priority").cast("long").alias("priority"))
+    none = fine.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("default").alias("queue"), F.lit(1).cast("long").alias("priority"))
+    return fine.unionByName(none)
+
+
 def strict_order(priorities: DataFrame) -> DataFrame:
     """(queue, rank) by priority, highest first; names and priorities that don't count are left out."""
-    fine = priorities.where("trim(queue) <> '' and priority > 0")
-    return fine.select("queue", F.row_number().over(Window.orderBy(F.desc("priority"), "queue")).alias("rank"))
+    return _named(priorities).select("queue", F.row_number().over(Window.orderBy(F.desc("priority"), "queue")).alias("rank"))
 
 
 def weighted_order(priorities: DataFrame, seed: int | None = None) -> DataFrame:
@@ -38,8 +44,7 @@ def weighted_order(priorities: DataFrame, seed: int | None = None) -> DataFrame:
 
     The smallest of p uniform draws is one draw u as 1 - (1 - u)^(1 / p).
     """
-    fine = priorities.where("trim(queue) <> '' and priority > 0")
-    drawn = fine.withColumn("draw", 1 - F.pow(1 - F.rand(seed), 1 / F.col("priority")))
+    drawn = _named(priorities).withColumn("draw", 1 - F.pow(1 - F.rand(seed), 1 / F.col("priority")))
     return drawn.select("queue", F.row_number().over(Window.orderBy("draw", "queue")).alias("rank"))
 
 
@@ -78,9 +83,9 @@ def done(tasks: DataFrame, ids: DataFrame) -> DataFrame:
     return tasks.join(gone, ["queue", "id"], "left_anti")
 
 
-def retry(tasks: DataFrame, now: str, is_failure: Column, jitter: Column) -> DataFrame:
-    """Active tasks that failed: due again after the backoff; only failures count as retried."""
-    delay = F.floor(backoff_nanos(F.col("retried"), jitter) / 1_000_000_000)
+def retry(tasks: DataFrame, now: str, is_failure: Column, jitter: Column, delay: Column | None = None) -> DataFrame:
+    """Active tasks that failed: due again after the backoff, or after ``delay`` (seconds); only failures count as retried."""
+    delay = F.floor(backoff_nanos(F.col("retried"), jitter) / 1_000_000_000) if delay is None else delay
     return (
         tasks.where("state = 'active'")
         .withColumn("retry_at", epoch(now_of(now)) + delay)

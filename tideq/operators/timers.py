@@ -39,7 +39,8 @@ def recover_fully(tasks: DataFrame, now: str, jitter: Column, is_failure: Column
 
     An archived task isn't due again and keeps its count. ``delay`` (seconds)
     takes the place of the default backoff; a lost lease counts as a failure
-    unless ``is_failure`` says otherwise, and only then as retried and as failed.
+    unless ``is_failure`` says otherwise, and only then as retried and as failed;
+    otherwise the earlier ``last_failed_at`` stays, if ``tasks`` has one.
     """
     failure = F.lit(True) if is_failure is None else is_failure
     wait = F.call_function("div", backoff_nanos(F.col("retried"), jitter), F.lit(10**9)) if delay is None else delay
@@ -50,7 +51,7 @@ def recover_fully(tasks: DataFrame, now: str, jitter: Column, is_failure: Column
             "retry_at": F.when(again, clock + wait),
             "retried": F.when(again & failure, F.col("retried") + 1).otherwise(F.col("retried")),
             "error": F.lit(LEASE_ERROR),
-            "last_failed_at": F.when(~again | failure, clock),
+            "last_failed_at": F.when(~again | failure, clock).otherwise(F.col("last_failed_at") if "last_failed_at" in tasks.columns else F.lit(None)),
         }
     )
 

@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them all."""
 
-from tideq.plans import ordered, registry, streams  # noqa: F401
+from tideq.plans import changes, ordered, registry, streams  # noqa: F401
