@@ -65,7 +65,12 @@ def run_all(tasks: DataFrame, states: tuple[str, ...], group: str | None = None)
 
 def archive_all(tasks: DataFrame, states: tuple[str, ...], group: str | None = None, kept: int = ARCHIVE_KEPT) -> DataFrame:
     """The archive of each queue once the tasks of the states have joined it, cut to the newest; moved ones come after old ones."""
-    both = tasks.where("state = 'archived'").withColumn("moved", F.lit(0)).unionByName(_chosen(tasks, states, group).withColumn("moved", F.lit(1)))
+    return joined_archive(tasks.where("state = 'archived'"), _chosen(tasks, states, group), kept)
+
+
+def joined_archive(archived: DataFrame, joining: DataFrame, kept: int = ARCHIVE_KEPT) -> DataFrame:
+    """The newest ``kept`` of each queue's archive once ``joining`` has come to it, with moved: 1 for what has."""
+    both = archived.withColumn("moved", F.lit(0)).unionByName(joining.withColumn("moved", F.lit(1)))
     order = Window.partitionBy("queue").orderBy(F.desc("moved"), F.desc("enqueued_at"), F.desc("id"))
     return both.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= kept).withColumn("state", F.lit("archived")).drop("rn")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from asyncio import CancelledError
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: What a handler may report besides success.
 ERRORS = ("failed", "skip_retry", "revoke", "timeout", "cancelled")
 
+# What a handler that ran out of time, and one that was cancelled, report.
+STOPPED = (("timeout", "context deadline exceeded"), ("cancelled", "context canceled"))
+
 
 class Mux:
     """Patterns, each with a handler; a type goes to the longest pattern that it begins with."""
@@ -44,6 +48,8 @@ class Mux:
                 try:
                     result = handler(payload)
                     out.append((True, None, None, None if result is None else str(result)))
+                except (TimeoutError, CancelledError) as e:
+                    out.append((False, *STOPPED[isinstance(e, CancelledError)], None))
                 except Exception as e:  # noqa: BLE001  user code may raise anything
                     kind_of = getattr(e, "kind", "failed")
                     out.append((False, kind_of if kind_of in ERRORS else "failed", str(e), None))
@@ -72,6 +78,15 @@ def route(tasks: DataFrame, patterns: DataFrame) -> DataFrame:
     return tasks.join(best, "type", "left")
 
 
+def aggregate_sets(sets: DataFrame, aggregator: Callable[[str, str, int, list[str]], str]) -> DataFrame:
+    """queue, group_key, set_no, payload: user code over the payloads of each set, in order, with its queue, group and number; a set has at most the flush size."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, aggregator(*key, list(rows.sort_values("rn")["payload"])))], columns=["queue", "group_key", "set_no", "payload"])
+
+    return sets.groupBy("queue", "group_key", "set_no").applyInPandas(run, "queue string, group_key string, set_no long, payload string")
+
+
 def aggregate_groups(members: DataFrame, aggregator: Callable[[str, list[str]], str]) -> DataFrame:
     """One payload for each flushed set (queue, group_key), by user code over its members in order; sets have a bounded size."""
 

@@ -118,3 +118,19 @@ def extend_leases(tasks: DataFrame, ids: DataFrame, now: str) -> DataFrame:
 def run_summary(transitions: DataFrame) -> DataFrame:
     """Counts of outcomes by queue."""
     return transitions.groupBy("queue", "outcome").agg(F.count("*").alias("n"))
+
+
+def run_summary_in_full(transitions: DataFrame, forwarded: DataFrame, recovered: DataFrame, expired: DataFrame) -> DataFrame:
+    """One row of counts a queue: what became of the tasks run (queue, outcome), and what forwarding, recovery (queue, new_state) and expiry (queue) did."""
+    ended = {"completed": "completed", "done": "done", "retried": "retry", "lease_expired": "lease_expired", "archived": "archived"}
+    parts = [transitions.select("queue", F.concat(F.lit("run:"), "outcome").alias("what")), forwarded.select("queue", F.concat(F.lit("forwarded:"), "new_state").alias("what"))]
+    parts += [recovered.select("queue", F.concat(F.lit("recovered:"), "new_state").alias("what")), expired.select("queue", F.lit("expired").alias("what"))]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    count = lambda what: F.count_if(F.col("what") == what)
+    return every.groupBy("queue").agg(
+        F.count_if(F.col("what").startswith("run:") & (F.col("what") != "run:lease_expired")).alias("processed"), *(count(f"run:{o}").alias(n) for n, o in ended.items()),
+        count("forwarded:pending").alias("forwarded_pending"), count("forwarded:aggregating").alias("forwarded_aggregating"),
+        count("recovered:retry").alias("recovered_retry"), count("recovered:archived").alias("recovered_archived"), count("expired").alias("deleted_expired"),
+    )

@@ -154,3 +154,12 @@ def register(entries: DataFrame, new: DataFrame) -> DataFrame:
 
 def unregister(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(ids.select("entry_id").distinct(), "entry_id", "left_anti")
+
+
+def sync(entries: DataFrame, desired: DataFrame, key: list[str]) -> DataFrame:
+    """``entries`` (entry_id and the key) after a provider's ``desired`` configurations: stale ones go, unchanged ones keep their id, added ones get a random one.
+
+    Configurations of equal keys count once, as do entries: the smallest id stays.
+    """
+    held = entries.groupBy(*key).agg(F.min("entry_id").alias("entry_id"))
+    return desired.select(*key).distinct().join(held, key, "left").withColumn("entry_id", F.coalesce("entry_id", F.uuid()))

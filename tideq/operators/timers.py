@@ -56,6 +56,23 @@ def recover_fully(tasks: DataFrame, now: str, jitter: Column, is_failure: Column
     )
 
 
+def recovery(tasks: DataFrame, now: str, jitter: Column, kept: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All that recovery changes: the tasks to be tried again, the archives after their trim, and the day's counters of it.
+
+    Archives are cut to tasks younger than 90 days and to the newest ``kept``, as whenever a task joins them; of queues that nothing
+    joins, they stay as they are and aren't returned. Each recovered task counts as processed and failed.
+    """
+    from tideq.operators import admin, counters, lifecycle
+
+    found = recover_fully(tasks, now, jitter)
+    over = found.where("new_state = 'archived'").select(tasks.columns)
+    old = tasks.where((F.col("state") == "archived") & (F.col("enqueued_at") > now_of(now) - F.make_interval(days=F.lit(lifecycle.ARCHIVE_DAYS))))
+    touched = old.join(over.select("queue").distinct(), "queue", "left_semi").select(tasks.columns)
+    archive = admin.joined_archive(touched, over, lifecycle.ARCHIVE_KEPT if kept is None else kept)
+    counted = counters.counted(found.select("queue", "new_state").withColumn("at", now_of(now)), "new_state", "at")
+    return found.where("new_state = 'retry'"), archive, counted
+
+
 def recover_result(recovered: DataFrame) -> DataFrame:
     """queue, retried, archived, total of recovered tasks."""
     count = lambda state: F.count_if(F.col("new_state") == state)

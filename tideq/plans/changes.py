@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideq.functions import scalar
-from tideq.operators import admin, counters, grouping, handlers, lifecycle, schedule
-from tideq.plans.registry import query
+from tideq.operators import admin, counters, grouping, handlers, inspect, lifecycle, presence, schedule, timers
+from tideq.plans import ordered
+from tideq.plans.registry import outcome_routing, query
 from tideq.sources import snapshots
 from tideq.sources.tables import NOW, read, tasks
 from tideq.streaming.runs import shared_folder
@@ -203,3 +204,107 @@ def value_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalar.is_state(F.col("event_type")).alias("is_state"), scalar.utf8_or_null(raw).alias("text"), scalar.time_or_null(F.col("event_id") % 4).alias("failed_at"),
         scalar.span_or_zero(F.col("event_id") % 7 - 3).alias("left_over"), scalar.quoted(F.col("props")).alias("quoted"),
     )
+
+
+_LOST = "state = 'active' and lease_expires_at <= $NOW - interval 30 second"
+
+
+def _recovery(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return timers.recovery(tasks(spark, sf_dir), NOW, F.col("pos") % 30, kept=150)
+
+
+@query(
+    f"""select queue, id, moved from (select *, row_number() over (partition by queue order by moved desc, enqueued_at desc, id desc) as rn from (
+  select *, 0 as moved from tasks where state = 'archived' and enqueued_at > $NOW - interval 90 day union all select *, 1 from tasks where {_LOST} and retried >= retry)
+  where queue in (select queue from tasks where {_LOST} and retried >= retry)) where rn <= 150"""
+)
+def recovery_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recovery(spark, sf_dir)[1].select("queue", "id", "moved")
+
+
+@query(f"select queue, date '2024-01-20' as day, count(*) as processed, count(*) as failed from tasks where {_LOST} group by queue")
+def recovery_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recovery(spark, sf_dir)[2]
+
+
+@query(
+    f"""select q.queue, a.processed, a.completed, a.done, a.retried, a.lease_expired, a.archived, f.forwarded_pending, f.forwarded_aggregating, r.recovered_retry, r.recovered_archived, e.deleted_expired
+from (select distinct queue from tasks) q
+join (select queue, count(*) filter (outcome <> 'lease_expired') as processed, count(*) filter (outcome = 'completed') as completed, count(*) filter (outcome = 'done') as done, count(*) filter (outcome = 'retry') as retried,
+  count(*) filter (outcome = 'lease_expired') as lease_expired, count(*) filter (outcome = 'archived') as archived from (select queue, case when lease_expires_at < $NOW then 'lease_expired'
+    when pos % 7 > 3 then case when pos % 2 = 0 then 'completed' else 'done' end when pos % 7 = 0 then 'done' when pos % 7 = 1 or retried >= retry then 'archived' else 'retry' end as outcome from tasks where state = 'active') group by 1) a on a.queue = q.queue
+join (select queue, count(*) filter (group_key = '') as forwarded_pending, count(*) filter (group_key <> '') as forwarded_aggregating from tasks where state in ('scheduled', 'retry') and process_at <= $NOW group by 1) f on f.queue = q.queue
+join (select queue, count(*) filter (retried < retry) as recovered_retry, count(*) filter (retried >= retry) as recovered_archived from tasks where {_LOST} group by 1) r on r.queue = q.queue
+join (select queue, count(*) as deleted_expired from tasks where state = 'completed' and enqueued_at + to_seconds(retention) <= $NOW group by 1) e on e.queue = q.queue"""
+)
+def run_summary_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = tasks(spark, sf_dir)
+    return lifecycle.run_summary_in_full(outcome_routing(spark, sf_dir), timers.forward(known, NOW), timers.recover(known, NOW), timers.expire_completed(known, NOW))
+
+
+@query(
+    """select id, error, message from (select id, case type when 'event:click' then 'timeout' when 'event:view' then 'cancelled' when 'event:error' then 'failed' end as error,
+  case type when 'event:click' then 'context deadline exceeded' when 'event:view' then 'context canceled' when 'event:error' then 'panic: ' || payload end as message from tasks)"""
+)
+def stopped_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asyncio import CancelledError
+
+    def late(payload: str | None) -> None:
+        raise TimeoutError
+
+    def stopped(payload: str | None) -> None:
+        raise CancelledError
+
+    def panic(payload: str | None) -> None:
+        raise ZeroDivisionError(f"panic: {payload}")
+
+    mux = handlers.Mux()
+    for pattern, handler in {"event:click": late, "event:view": stopped, "event:error": panic, "event:": lambda payload: None}.items():
+        mux.handle(pattern, handler)
+    return mux.run(tasks(spark, sf_dir)).select("id", "error", "message")
+
+
+@query(
+    """select queue, id, type, cast(rn as integer) as rn, result from (select *, row_number() over (partition by queue order by enqueued_at, encode(id)) as rn, case when pos % 4 <> 0 then 'r' || id end as result
+  from tasks where state = 'completed') where rn > 30 and rn <= 60"""
+)
+def list_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tasks(spark, sf_dir).withColumn("result", F.when(F.col("pos") % 4 != 0, F.concat(F.lit("r"), "id")))
+    return inspect.list_tasks(stored, "completed", 2, 30).select("queue", "id", "type", "rn", "result")
+
+
+@query(
+    """select user_id % 20 as scheduler_id, event_id as entry_id from events e join (select user_id % 20 as s, max(cast(ts as date)) as last from events group by 1) l on l.s = e.user_id % 20 and cast(e.ts as date) = l.last
+where user_id % 20 % 6 <> 0""",
+    on_tasks=False,
+)
+def scheduler_overwrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's report of a scheduler takes the place of its entries before; cleared schedulers have none."""
+    rows = read(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("scheduler_id"), F.col("event_id").alias("entry_id"), F.to_date("ts").alias("day"))
+    reports = presence.latest(rows.select("scheduler_id", "day").distinct(), ["scheduler_id"], "day", "day")
+    held = rows.join(reports, ["scheduler_id", "day"]).drop("day")
+    return presence.without(held, reports.where("scheduler_id % 6 = 0"), ["scheduler_id"])
+
+
+@query("""select id, '{"id":"' || id || '","k":' || cast(json_extract(payload, '$.k') as bigint) || '}' as encoded, cast(json_extract(payload, '$.k') as bigint) as decoded from tasks""")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.struct("id", F.from_json("payload", "k bigint")["k"].alias("k"))
+    encoded = tasks(spark, sf_dir).select("id", F.to_json(payload).alias("encoded"))
+    return encoded.withColumn("decoded", F.from_json("encoded", "id string, k bigint")["k"])
+
+
+@query(f"{ordered._SETS} select queue, group_key, set_no, queue || '/' || group_key || '#' || set_no || ':' || count(*) || ':' || max(payload) as payload from closed group by 1, 2, 3", recursive=True)
+def user_aggregated_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handlers.aggregate_sets(ordered._finished(spark, sf_dir), lambda queue, group, number, payloads: f"{queue}/{group}#{number}:{len(payloads)}:{max(payloads)}")
+
+
+@query(
+    """select d.spec, d.type, h.entry_id is not null as kept, h.entry_id from (select distinct 'every ' || (user_id % 50) as spec, event_type as type from events where event_id % 7 = 0) d
+left join (select 'every ' || (user_id % 50) as spec, event_type as type, min(cast(event_id as varchar)) as entry_id from events where event_id % 5 = 0 group by 1, 2) h on h.spec = d.spec and h.type = d.type""",
+    on_tasks=False,
+)
+def provider_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.concat(F.lit("every "), (F.col("user_id") % 50).cast("string")).alias("spec"), F.col("event_type").alias("type"), F.col("event_id").cast("string").alias("entry_id"), "event_id")
+    after = schedule.sync(rows.where("event_id % 5 = 0"), rows.where("event_id % 7 = 0"), ["spec", "type"])
+    kept = ~F.col("entry_id").contains("-")  # a new entry's id is random
+    return after.select("spec", "type", kept.alias("kept"), F.when(kept, F.col("entry_id")).alias("entry_id"))
