@@ -109,11 +109,24 @@ def test_without_training_rows_all_is_uniform(spark):
     assert (row.train_tokens, row.n_known, row.score) == (0, 0, 0.0)
 
 
-def test_weights_and_probabilities_sum_to_one():
-    weights = lm.uniform(3)
-    assert np.allclose(weights.sum(axis=1), 1)
-    # three words and the end, all seen behind the context: estimates of an order sum to 1, as does any mixture of seen orders
-    assert (weights[lm.WIDTH : 2 * lm.WIDTH, 2:] == 0).all()
+def test_probabilities_of_all_words_and_an_unknown_one_sum_to_one():
+    """Behind each context: seen in full, by its last word only, and not at all."""
+    rng = np.random.default_rng(3)
+    words, n = ["a", "b", "c"], {"a b": 5, "b": 9}
+    after = {"a b": {"a": 3, "c": 1, None: 1}, "b": {"a": 4, "b": 1, "c": 2, None: 2}, "": {"a": 9, "b": 8, "c": 5, None: 4}}
+    any_word = 1 / (len(words) + 2)
+    weights = lm.uniform(3) * rng.random((4 * lm.WIDTH, 4))
+    weights /= weights.sum(axis=1, keepdims=True)
+    total = sum(after[""].values())
+    for c3, c2 in ((n["a b"], n["b"]), (0, n["b"]), (0, 0)):
+        counted = object.__new__(lm.Counted)
+        every = [*words, None, "unknown"]
+        counts = (after[""], after["b"] if c2 else {}, after["a b"] if c3 else {})
+        counted.counts = [np.array([c.get(w, 0) for w in every]) for c in counts]
+        counted.contexts = [np.full(len(every), x) for x in (total, c2, c3)]
+        bucket, ratio = counted.estimates()
+        p = weights[bucket][:, 0] * any_word + (weights[bucket][:, 1:] * ratio).sum(axis=1)
+        assert p.sum() == pytest.approx(1) and (p > 0).all()
 
 
 def test_better_than_the_base_on_held_out_texts(docs):
