@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideq.operators import enqueue, grouping, running
+from tideq.operators import admin, enqueue, grouping, lifecycle, running
 from tideq.sources.tables import tasks
 
 
@@ -47,6 +47,21 @@ def lock_by_loop(requests, ends):
     return out
 
 
+def test_archives_are_cut_alike_in_slices(spark, slice_rows):
+    """The newest of each queue, those that have just come first, whatever the slices; nulls are oldest."""
+    draw = random.Random(5)
+    rows = [(draw.choice(["hot"] * 5 + ["a"]), i, draw.choice([None, *map(at, range(9))]), draw.choice(["archived", "archived", "retry"])) for i in range(90)]
+    table = spark.createDataFrame(rows, "queue string, id long, enqueued_at timestamp_ntz, state string")
+    age = lambda r: (r[2] is not None, r[2] or at(0), r[1])
+    kept = lambda pick, first: {q: sorted((r for r in rows if r[0] == q and pick(r)), key=lambda r: (first(r), *age(r)), reverse=True)[:11] for q in ("hot", "a")}
+    joined = admin.archive_all(table, ("retry",), kept=11).select("queue", "id", "moved", "state").collect()
+    want = kept(lambda r: True, lambda r: r[3] == "retry")
+    assert {(r.queue, r.id, r.moved, r.state) for r in joined} == {(q, r[1], int(r[3] == "retry"), "archived") for q, some in want.items() for r in some}
+    trimmed = lifecycle.archive_trim(table, "2024-01-01 00:01:00", 11).select("queue", "id").collect()
+    want = kept(lambda r: r[3] == "archived" and r[2] is not None, lambda r: 0)
+    assert {(r.queue, r.id) for r in trimmed} == {(q, r[1]) for q, some in want.items() for r in some}
+
+
 def test_locks_with_early_release_against_a_loop(spark, slice_rows):
     draw = random.Random(5)
     requests = [(draw.choice(["hot", "hot", "a", None]), f"i{draw.randrange(30)}", draw.randrange(400), draw.choice([None, 5, 40, 90]), n) for n in range(150)]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideq.operators.lifecycle import ARCHIVE_KEPT
+from tideq.operators.lifecycle import ARCHIVE_KEPT, newest
 from tideq.operators.running import numbered
 
 RUNNABLE = ("scheduled", "retry", "archived", "completed", "aggregating")
@@ -71,8 +71,7 @@ def archive_all(tasks: DataFrame, states: tuple[str, ...], group: str | None = N
 def joined_archive(archived: DataFrame, joining: DataFrame, kept: int = ARCHIVE_KEPT) -> DataFrame:
     """The newest ``kept`` of each queue's archive once ``joining`` has come to it, with moved: 1 for what has."""
     both = archived.withColumn("moved", F.lit(0)).unionByName(joining.withColumn("moved", F.lit(1)))
-    order = Window.partitionBy("queue").orderBy(F.desc("moved"), F.desc("enqueued_at"), F.desc("id"))
-    return both.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= kept).withColumn("state", F.lit("archived")).drop("rn")
+    return newest(both, kept, "moved").withColumn("state", F.lit("archived"))
 
 
 def delete_all(tasks: DataFrame, states: tuple[str, ...], group: str | None = None) -> DataFrame:

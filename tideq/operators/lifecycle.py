@@ -97,8 +97,17 @@ def retry(tasks: DataFrame, now: str, is_failure: Column, jitter: Column, delay:
 def archive_trim(tasks: DataFrame, now: str, kept: int = ARCHIVE_KEPT, days: int = ARCHIVE_DAYS) -> DataFrame:
     """Archived tasks that stay: those young enough, and of them the newest of each queue."""
     young = tasks.where((F.col("state") == "archived") & (F.col("enqueued_at") > now_of(now) - F.make_interval(days=F.lit(days))))
-    newest = Window.partitionBy("queue").orderBy(F.desc("enqueued_at"), F.desc("id"))
-    return young.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= kept).drop("rn")
+    return newest(young, kept)
+
+
+def newest(archived: DataFrame, kept: int, first: str | None = None) -> DataFrame:
+    """The newest ``kept`` rows of each queue, those with the greater ``first`` (0 or 1) before others; counted in slices of time, as an archive may be of any size."""
+    # a time of none comes last, behind all that fit the calendar
+    at = F.coalesce(F.unix_micros(F.col("enqueued_at").cast("timestamp")), F.lit(-4 * 10**17))
+    order = [F.desc(c) for c in ("enqueued_at", "id")]
+    if first is not None:
+        at, order = at + F.col(first) * F.lit(10**18), [F.desc(first), *order]
+    return numbered(archived, ["queue"], -at, order, "rn").where(F.col("rn") <= kept).drop("rn")
 
 
 def requeue(tasks: DataFrame) -> DataFrame:
