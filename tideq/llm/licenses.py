@@ -3,7 +3,8 @@
 A file's text is cut into sentences and lines. Those that hold an anchor word of
 licence language (every template has one) are compared to every template by the
 cosine of sparse TF-IDF vectors; the best at ``threshold`` or more is the file's
-own licence. A file of which notices make up at least ``file_share`` is a
+own licence. A template counts only if the notice has its numbers and what it
+has of the licence's name, so another version or name is no match. A file of which notices make up at least ``file_share`` is a
 licence file of its directory. Files without a notice take the licence of the
 licence file in their directory or its nearest ancestor, by an equi-join on
 ancestor paths.
@@ -13,7 +14,8 @@ Document frequencies count all files.
 Defined results: null and empty texts have no notice; a null path inherits
 nothing; of two licence files in one directory the higher score counts, then
 the smaller path; equal scores go to the template first in order; of equal
-paths each row is answered by itself for its own notice.
+paths each row is answered by itself for its own notice. Further columns are
+carried along, and one that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideq.llm.common import broadcast_within, checkpointed
+from tideq.llm.common import broadcast_within, checkpointed, free_name
 
 # Notices by which each licence is known.
 TEMPLATES = (
@@ -55,6 +57,7 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Proprietary", "Copyright. All rights reserved."),
 )
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in TEMPLATES) if name != "Proprietary")
 ANCHOR = re.compile(r"licen[sc]e|copyright|permission|redistribution|public domain|spdx", re.IGNORECASE)
 _WORD = re.compile(r"[a-z0-9]+")
 _CUT = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -64,6 +67,12 @@ def terms_of(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
 
+def must_have(name: str, text: str) -> frozenset[str]:
+    """Terms of a template without which a notice is of another licence or version: its numbers, and what it has of the licence's name."""
+    own = terms_of(name)
+    return frozenset(t for t in terms_of(text) if t.isdigit() or t in own)
+
+
 VOCABULARY = frozenset(term for _, text in TEMPLATES for term in terms_of(text))
 
 
@@ -79,6 +88,7 @@ class Templates:
         self.rarest = log(1 + files) + 1
         self.idf = {t: log((1 + files) / (1 + min(files, frequency.get(t, 0)))) + 1 for t in VOCABULARY}
         self.vectors = [(name, self._unit(terms_of(text))) for name, text in TEMPLATES]
+        self.musts = [must_have(name, text) for name, text in TEMPLATES]
 
     def _unit(self, terms: Counter) -> dict[str, float]:
         weighed = {t: n * self.idf.get(t, self.rarest) for t, n in terms.items()}
@@ -87,7 +97,7 @@ class Templates:
 
     def best(self, segment: str) -> tuple[float, str]:
         mine = self._unit(terms_of(segment))
-        scores = [sum(w * mine.get(t, 0.0) for t, w in vector.items()) for _, vector in self.vectors]
+        scores = [sum(w * mine.get(t, 0.0) for t, w in vector.items()) if must <= mine.keys() else 0.0 for (_, vector), must in zip(self.vectors, self.musts)]
         top = max(range(len(scores)), key=lambda i: (scores[i], -i))
         return scores[top], self.vectors[top][0]
 
@@ -121,7 +131,9 @@ def notices(files: DataFrame, threshold: float = 0.6) -> DataFrame:
                 own.append((None, None, 0.0))
         return pd.DataFrame(own, columns=["own_license", "own_score", "notice_share"])
 
-    return files.withColumn("_own", score("text")).drop("text").select("*", "_own.*").drop("_own")
+    plain = files.drop("own_license", "own_score", "notice_share")
+    own = free_name(plain, "own")
+    return plain.withColumn(own, score("text")).drop("text").select("*", f"{own}.*").drop(own)
 
 
 def directory(path: Column) -> Column:
@@ -136,7 +148,8 @@ def ancestors(path: Column) -> Column:
 
 def scan(files: DataFrame, threshold: float = 0.6, file_share: float = 0.5) -> DataFrame:
     """``files`` without text, with own_license, own_score, license and inherited_from (a directory, or null)."""
-    marked = checkpointed(notices(files, threshold))
+    marked = checkpointed(notices(files.drop("license", "inherited_from"), threshold))
+    near, own_dir = free_name(marked, "near"), free_name(marked, "own_dir")
     order = Window.partitionBy("dir").orderBy(F.desc("own_score"), "path")
     held = (
         marked.where(F.col("own_license").isNotNull() & F.col("path").isNotNull() & (F.col("notice_share") >= file_share))
@@ -150,11 +163,11 @@ def scan(files: DataFrame, threshold: float = 0.6, file_share: float = 0.5) -> D
     dirs = asking.select(directory(F.col("path")).alias("own_dir")).distinct()
     climbed = dirs.select("own_dir", F.explode(ancestors(F.concat("own_dir", F.lit("/x")))).alias("a")).select("own_dir", "a.depth", "a.dir")
     nearest = climbed.join(held, "dir").groupBy("own_dir").agg(F.max_by(F.struct("dir", "dir_license"), "depth").alias("near"))
-    nearest = broadcast_within(checkpointed(nearest), 200_000)
+    nearest = broadcast_within(checkpointed(nearest.select(F.col("own_dir").alias(own_dir), F.col("near").alias(near))), 200_000)
     return (
-        marked.withColumn("own_dir", directory(F.col("path")))
-        .join(nearest, "own_dir", "left")
-        .withColumn("license", F.coalesce("own_license", "near.dir_license"))
-        .withColumn("inherited_from", F.when(F.col("own_license").isNull(), F.col("near.dir")))
-        .drop("own_dir", "near")
+        marked.withColumn(own_dir, directory(F.col("path")))
+        .join(nearest, own_dir, "left")
+        .withColumn("license", F.coalesce("own_license", f"{near}.dir_license"))
+        .withColumn("inherited_from", F.when(F.col("own_license").isNull(), F.col(f"{near}.dir")))
+        .drop(own_dir, near)
     )
