@@ -92,3 +92,14 @@ def test_many_matches_in_one_text(spark):
     r = pii.find_spans(rows, model).select(F.size("base_spans").alias("n"), F.col("base_spans")[n - 1].alias("last"), F.size("added_spans").alias("added")).first()
     assert (r.n, tuple(r.last), r.added) == (n, (9 * n - 7, 0, 9 * n - 1), 0)
     assert time.perf_counter() - began < 60
+
+
+def test_query_counts_base_spans_by_kind(spark, tmp_path):
+    """Counts of the query against the plain base rules; a text of an address alone gave one of each kind."""
+    from tideq.llm import queries
+
+    texts = ["a@b.cd", "a@b.cd 1.2.3.4 4.3.2.1 +1 212-555-0000", *(t for t in ODD if t is None or len(t) < 1000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op10_pii_spans(spark, str(tmp_path)).collect():
+        kinds = [kind for _, kind, _ in base(texts[r.doc_id])]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in range(4)]

@@ -309,6 +309,11 @@ def find_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     return found.withColumn("added_spans", F.when(F.size("_more") > 0, added).otherwise(F.array().cast(span))).drop("_more", "candidates")
 
 
+def count_of(spans: str, kind: str) -> Column:
+    """How many spans are of the kind. (A second argument of the lambda, even one with a default, would be the span's place.)"""
+    return F.size(F.filter(spans, lambda x: x["kind"] == KINDS.index(kind))).cast("long")
+
+
 def joined(spans: Column) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
