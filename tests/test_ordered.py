@@ -134,3 +134,19 @@ def test_sets_in_time_become_tasks_and_others_go_back(spark):
     added, back = grouping.run_sets(sets, "finished_at")
     assert [(r.id, r.n, r.payload, r.state) for r in added.collect()] == [("q:g:1", 2, "a\nb", "pending")]
     assert [(r.id, r.reclaimed_at) for r in back.collect()] == [("2", at(130))]
+
+
+def test_lock_lifecycle_with_equal_ties_against_its_sql(spark, sf_dir, tmp_path):
+    """The tie repeats each 1,000,003 events; in copies of the table every tie is shared, some within a key and moment."""
+    import duckdb
+
+    from tideq.plans import ordered, registry
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 700")
+    copies = [events.withColumn("event_id", (F.col("event_id") + 1_000_003 * n).cast(events.schema["event_id"].dataType)) for n in (0, 1, 2)]
+    copies[0].unionByName(copies[1]).unionByName(copies[2]).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = ordered.lock_lifecycle(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"select {', '.join(found.columns)} from ({registry.ORACLE_SQL['lock_lifecycle']})").fetchall()
+    assert len(want) == 2100 and sorted(map(str, want)) == sorted(str(tuple(r)) for r in found.collect())

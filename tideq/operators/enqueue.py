@@ -15,6 +15,8 @@ DEFAULT_RETRY = 25
 DEFAULT_TIMEOUT_SECONDS = 1800
 
 
+#: Columns of a request that ``plan`` keeps by itself.
+PLANNED = ("queue", "type", "id", "group_key", "process_at")
 #: Spans beyond it don't fit a signed 64-bit count of nanoseconds.
 LONGEST_SECONDS = (2**63 - 1) // 10**9
 
@@ -52,17 +54,18 @@ def plan(requests: DataFrame, now: str | Column, carry: tuple[str, ...] = ()) ->
     )
 
 
-def admit(requests: DataFrame, tasks: DataFrame, at: str, tie: str, ends: DataFrame | None = None) -> DataFrame:
-    """Each request (as of ``plan``, with payload, ``at`` and ``tie``) planned at its own time, with unique_key and status.
+def admit(requests: DataFrame, tasks: DataFrame, at: str, tie: str | list[str], ends: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each request (as of ``plan``, with payload, ``at`` and ``tie``) planned at its own time, with unique_key and status; columns of ``carry`` are kept.
 
     Status: 1 added in its planned state; 0 the id is taken; -1 the lock of its queue, type and payload
     is held by another task; null if the request has an error. Requests without ``unique_for`` ask for no lock.
     A task of ``ends`` (queue, type, payload, id, ``at``) that owns its lock releases it when it ends.
     """
     key = lambda: unique_key(F.col("queue"), F.col("type"), F.col("payload")).alias("unique_key")
-    planned = plan(requests, F.col(at), carry=(at, tie, "payload")).select("*", key())
+    ties = [tie] if isinstance(tie, str) else tie
+    planned = plan(requests, F.col(at), carry=(at, *(t for t in ties if t not in PLANNED), "payload", *carry)).select("*", key())
     ended = None if ends is None else ends.select(key(), "id", at)
-    fine = unique_status(planned.where("error is null"), tasks, ["unique_key"], at, "lock_seconds", tie, ended)
+    fine = unique_status(planned.where("error is null"), tasks, ["unique_key"], at, "lock_seconds", ties, ended)
     return fine.unionByName(planned.where("error is not null").withColumn("status", F.lit(None).cast("int")))
 
 
@@ -84,17 +87,17 @@ def _with_status(requests: DataFrame, tasks: DataFrame, order: list[str], asks:
     return joined.withColumn("status", F.when(~asks, -1).when(added, 1).otherwise(0)).drop("_first", "taken")
 
 
-def unique_status(requests: DataFrame, tasks: DataFrame, key: list[str], at: str, ttl: str, tie: str, ends: DataFrame | None = None) -> DataFrame:
+def unique_status(requests: DataFrame, tasks: DataFrame, key: list[str], at: str, ttl: str, tie: str | list[str], ends: DataFrame | None = None) -> DataFrame:
     """``requests`` (queue, id among their columns) with status: -1 the key is locked, 0 the id is taken, 1 added.
 
     The lock is taken before the id is looked up, and stays when the id is taken;
     column ``ttl`` has each request's lock time in seconds, and a request without one asks for no lock. Requests come one
-    after the other by ``at`` and ``tie``, which no two of them share. ``ends`` as in ``unique``.
+    after the other by ``at`` and ``tie``, a column or several, which no two of them share. ``ends`` as in ``unique``.
     """
-    return _with_status(unique(requests, key, at, ttl, tie, ends), tasks, [at, tie], F.col("accepted")).drop("accepted")
+    return _with_status(unique(requests, key, at, ttl, tie, ends), tasks, [at, *([tie] if isinstance(tie, str) else tie)], F.col("accepted")).drop("accepted")
 
 
-def unique(requests: DataFrame, key: list[str], at: str, ttl: int | str, tie: str, ends: DataFrame | None = None) -> DataFrame:
+def unique(requests: DataFrame, key: list[str], at: str, ttl: int | str, tie: str | list[str], ends: DataFrame | None = None) -> DataFrame:
     """``requests`` with accepted: whether the lock of no accepted one of the same key still holds; ``ttl`` is its seconds, or their column.
 
     A refused request doesn't prolong the lock, so the rows of a key are taken
@@ -109,7 +112,7 @@ def unique(requests: DataFrame, key: list[str], at: str, ttl: int | str, tie: st
     owner = "id" if ends is not None else None
     if ends is not None:
         rows = rows.unionByName(ends.select(*key, "id", epoch_micros(F.col(at)).alias("_at"), F.lit(True).alias("_end")), allowMissingColumns=True)
-    moment, order = F.col("_at"), ["_at", F.desc("_end"), tie]
+    moment, order = F.col("_at"), ["_at", F.desc("_end"), *([tie] if isinstance(tie, str) else tie)]
     cut = running_max(rows, key, moment, order, F.col("_until"), "_last")
     cut = running_sum(cut, key, moment, order, F.coalesce((F.col("_at") >= F.col("_last")).cast("int"), F.col("_last").isNull().cast("int")), "_burst").drop("_last")
 
