@@ -180,3 +180,13 @@ def test_leap_days_over_a_century_and_entries(spark):
     assert found == {"@every 90s": 90, "@every 1s": 1}
     sets = spark.createDataFrame([("q", "g", "s1", 1), ("q", "g", "s2", 2)], "queue string, group_key string, set_id string, id int")
     assert [r.id for r in grouping.delete_sets(sets, sets.where("id = 1")).collect()] == [2]
+
+
+def test_cron_next_makes_no_rows_of_days_or_times(spark):
+    """A row stays a row: a calendar of 41 years, then a row for each of four days' times and a join, grew to hours at 6 GB."""
+    entries = spark.range(2_000, numPartitions=4).selectExpr("id entry_id", "concat(id % 60, ' ', id % 24, ' 29 2 *') spec")
+    found = schedule.cron_next(entries, "2024-03-01 00:00:00")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Generate", "Join", "Exchange"))
+    got = found.selectExpr("count(next_at) n", "min(next_at) first", "max(next_at) last").first()
+    assert (got.n, got.first, got.last) == (2_000, datetime(2028, 2, 29), datetime(2028, 2, 29, 23, 59))

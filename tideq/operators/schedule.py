@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
@@ -120,13 +121,32 @@ def cron_next(entries: DataFrame, now: str, years: int = 41) -> DataFrame:
     """entry_id, spec, next_at (UTC): the first time after ``now`` that each entry's line names; null if none comes within ``years``, or the line is wrong.
 
     A date and weekday that both must fit come again within 40 years, also across a century without a leap day.
+    Each row goes on from month to month, day to day and hour to hour until it has its time: days are run through only in months that the line names,
+    hours only on days that it names, and nothing behind the time found.
     """
     lines = parsed(entries.select("entry_id", "spec"))
+    after, none = F.lit(now).cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")
     today = _local_date(now, F.col("zone"))
-    days = F.filter(F.sequence(today, F.add_months(today, 12 * years)), _fits)
-    first = lines.where("error is null").withColumn("day", F.explode(F.slice(days, 1, 4)))  # today may be over, and a day's times left out by the clocks
-    found = _ticks(first).where(F.col("tick") > F.lit(now).cast("timestamp_ntz")).groupBy("entry_id").agg(F.min("tick").alias("next_at"))
-    return lines.select("entry_id", "spec").join(found, "entry_id", "left")
+    last = F.add_months(today, 12 * years)
+
+    def first(items: Column, of: Callable[[Column], Column]) -> Column:
+        """What ``of`` gives for the first item for which it isn't null; later ones are not looked at."""
+        return F.aggregate(items, none, lambda found, x: F.when(found.isNotNull(), found).otherwise(of(x)))
+
+    def in_hour(day: Column, hour: Column) -> Column:
+        def tick(minute: Column) -> Column:
+            local = day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute)
+            utc = F.convert_timezone(F.col("zone"), F.lit("UTC"), local)
+            return F.when((utc > after) & (F.convert_timezone(F.lit("UTC"), F.col("zone"), utc) == local), utc)
+
+        return first(F.col("minutes"), tick)
+
+    def in_month(month: Column) -> Column:
+        days = F.filter(F.sequence(F.greatest(month, today), F.least(F.last_day(month), last)), _fits)
+        return F.when(F.array_contains("months", F.month(month)), first(days, lambda day: first(F.col("hours"), lambda hour: in_hour(day, hour))))
+
+    months = F.sequence(F.trunc(today, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))
+    return lines.select("entry_id", "spec", F.when(F.col("error").isNull(), first(months, in_month)).alias("next_at"))
 
 
 def periodic_key(spec: Column, kind: Column, payload: Column, options: Column) -> Column:
