@@ -119,3 +119,17 @@ def test_a_registered_stream_reads_the_whole_table(spark, sf_dir):
     accepted = streams.stream_lock(spark, sf_dir)
     events = read(spark, sf_dir, "events")
     assert accepted.count() == events.where(F.col("ts") <= F.lit(events.agg(F.max("ts")).first()[0] - timedelta(hours=1))).count()
+
+
+@pytest.mark.parametrize("kind", ["lock", "release"])
+def test_state_is_kept_by_bucket_not_by_key(spark, tmp_path, kind):
+    """4,000 keys: a state of each key by itself is some calls into Python for each, which grew to an hour at 6 GB."""
+    if kind == "lock":
+        rows, schema = [(f"k{i}", i, at(i % 50)) for i in range(4_000)], "key string, id long, at timestamp"
+        end, make = ("end", -1, at(10_000)), lambda s: processors.unique_stream(s, 3600, "1 minute")
+    else:
+        rows, schema = [("q", f"k{i}", "retry", "", at(i % 50), at(60 + i % 7)) for i in range(4_000)], "queue string, id string, state string, group_key string, at timestamp, process_at timestamp"
+        end, make = ("q", "end", "retry", "", at(10_000), at(99_999)), lambda s: processors.forward_stream(s, "1 minute")
+    got, held = run_in_batches(spark, [rows, [end]], schema, make, tmp_path)
+    assert len({r.id for r in got}) == len(got) == 4_000
+    assert max(held) <= 2_000 and held[-1] <= 8, held

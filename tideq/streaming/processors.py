@@ -9,6 +9,7 @@ watermark has reached it. The watermark follows the rows that an operator takes.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Buckets to which the keys of locks and releases are dealt; no result depends on it.
+BUCKETS = 512
+#: Rows of a pack of state, at most.
+PACK = 10_000
+
 
 def due_stream(tasks: DataFrame, clock: str) -> DataFrame:
     """A stream of tasks (state, process_at, group_key) with new_state for each that is due by ``clock``."""
@@ -42,6 +48,10 @@ def _micros(times: pd.Series) -> list[int]:
     return times.astype("datetime64[us]").astype("int64").tolist()
 
 
+def _bucket(buckets: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(buckets)).alias("_bucket")
+
+
 class InOrder(StatefulProcessor):
     """Rows (id, at) of a key, handed to ``fold`` in order once the watermark has passed them."""
 
@@ -147,8 +157,59 @@ def flush_stream(members: DataFrame, late: str, max_size: int, max_delay: int, g
     return rows.groupBy("queue", "group_key").transformWithStateInPandas(FlushRules(max_size, max_delay, grace), schema, "append", "EventTime")
 
 
-class Lock(InOrder):
-    """The lock of a key: taken by a row when no earlier one holds it, and forgotten by a timer when it ends."""
+class Packed(StatefulProcessor):
+    """Rows of all keys of a bucket, in packs of state, read when the watermark has passed the first that is due.
+
+    Each access to the state is a message to the engine, so that a key of few rows is dear by itself. Here a batch of a
+    bucket is one pack, whatever its keys. A bucket is read and written as a whole: there should be so many that one fits a worker's memory.
+    """
+
+    columns: tuple[str, ...] = ()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "pack string")
+        self.seen: dict[tuple, int] = {}  # the clock at which a bucket was last read in this batch
+
+    def add(self, rows: list[tuple]) -> None:
+        if rows:
+            self.waiting.appendValue((json.dumps(rows),))
+
+    def packs(self) -> Iterator[list]:
+        for (pack,) in self.waiting.get():
+            yield json.loads(pack)
+
+    def keep(self, rows: list) -> None:
+        """Only these rows are waiting."""
+        self.waiting.clear()
+        for i in range(0, len(rows), PACK):
+            self.add(rows[i : i + PACK])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        clock = timerValues.getCurrentWatermarkInMs()
+        # several timers of a bucket may have passed: the first looks after them all
+        if self.seen.get(key) != clock:
+            self.seen[key] = clock
+            yield self.frame(self.expire(clock))
+        else:
+            yield self.frame([])
+
+    def expire(self, clock: int) -> list[tuple]:
+        raise NotImplementedError
+
+    def frame(self, rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=list(self.columns))
+        for name in ("at", "due"):
+            if name in self.columns:
+                out[name] = pd.to_datetime(out[name].astype("int64"), unit="us")
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+class Locks(Packed):
+    """The locks of a bucket's keys: each taken by a row when no earlier one holds it, and forgotten by a timer when it ends."""
 
     columns = ("key", "id", "at", "accepted")
 
@@ -157,75 +218,87 @@ class Lock(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.until = handle.getValueState("until", "until long")
+        self.held = handle.getListState("held", "pack string")
 
-    def fold(self, rows: list[tuple[int, str]], clock: int) -> tuple[list[tuple], int | None]:
-        until, out = (self.until.get()[0] if self.until.exists() else None), []
-        for at, id_ in rows:
-            free = until is None or at >= until
-            until = at + self.ttl if free else until
-            out.append((id_, at, free))
-        if until is not None and _millis(until) <= clock:
-            self.until.clear()
-            return out, None
-        if until is not None:
-            self.until.update((until,))
-        return out, until
-
-
-def unique_stream(events: DataFrame, ttl: int, late: str = "0 seconds") -> DataFrame:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        self.seen.pop(key, None)
+        first = None
+        for batch in rows:
+            at = _micros(batch["at"])
+            self.add(list(zip(batch["key"].tolist(), at, batch["id"].tolist())))
+            first = min(at) if first is None else min(first, *at)
+        if first is not None:
+            self.handle.registerTimer(_millis(first))
+        yield self.frame([])
+
+    def expire(self, clock: int) -> list[tuple]:
+        every = [row for pack in self.packs() for row in pack]
+        ready = sorted((r for r in every if _millis(r[1]) <= clock), key=lambda r: (r[1], r[2].encode()))
+        rest = [r for r in every if _millis(r[1]) > clock]
+        before = [pair for (pack,) in self.held.get() for pair in json.loads(pack)]
+        until, out = dict(map(tuple, before)), []
+        for name, at, id_ in ready:
+            end = until.get(name)
+            free = end is None or at >= end
+            if free:
+                until[name] = at + self.ttl
+            out.append((name, id_, at, free))
+        left = [(name, end) for name, end in until.items() if _millis(end) > clock]
+        if ready:
+            self.keep(rest)
+        if ready or len(left) < len(before):
+            self.held.clear()
+            for i in range(0, len(left), PACK):
+                self.held.appendValue((json.dumps(left[i : i + PACK]),))
+        for next_ in ([r[1] for r in rest], [end for _, end in left]):
+            if next_:
+                self.handle.registerTimer(_millis(min(next_)))
+        return out
+
+
+def unique_stream(events: DataFrame, ttl: int, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """key, id, at, accepted of the events (key, id, at): accepted if no accepted one of the key preceded by less than ``ttl`` seconds."""
-    rows = events.withWatermark("at", late).select("key", F.col("id").cast("string").alias("id"), "at")
-    return rows.groupBy("key").transformWithStateInPandas(Lock(ttl), "key string, id string, at timestamp, accepted boolean", "append", "EventTime")
+    rows = events.withWatermark("at", late).select(_bucket(buckets, "key"), "key", F.col("id").cast("string").alias("id"), "at")
+    return rows.groupBy("_bucket").transformWithStateInPandas(Locks(ttl), "key string, id string, at timestamp, accepted boolean", "append", "EventTime")
 
 
-class Release(StatefulProcessor):
-    """One row of a key, kept until the watermark has passed its ``due``; a later row of the key takes its place."""
+class Release(Packed):
+    """One row of each key of a bucket, kept until the watermark has passed its ``due``; a later row of the key takes its place."""
 
     columns = ("queue", "id", "outcome", "due")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.kept = handle.getValueState("kept", "due long, outcome string")
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        last = None
+        self.seen.pop(key, None)
+        last: dict[tuple, tuple] = {}
         for batch in rows:
-            newest = max(zip(_micros(batch["at"]), _micros(batch["due"]), batch["outcome"].tolist()))
-            last = newest if last is None else max(last, newest)
-        out = []
-        if last is not None:
-            if self.kept.exists():
-                self.handle.deleteTimer(_millis(self.kept.get()[0]))
-            _, due, outcome = last
-            if _millis(due) <= timerValues.getCurrentWatermarkInMs():
-                self.kept.clear()
-                out = [(*key, outcome, due)]
-            else:
-                self.kept.update((due, outcome))
-                self.handle.registerTimer(_millis(due))
-        yield self.frame(out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        out = []
-        if self.kept.exists():
-            due, outcome = self.kept.get()
-            out = [(*key, outcome, due)]
-            self.kept.clear()
+            for queue, id_, *newest in zip(batch["queue"].tolist(), batch["id"].tolist(), _micros(batch["at"]), _micros(batch["due"]), batch["outcome"].tolist()):
+                last[queue, id_] = max(last.get((queue, id_), newest), newest)
+        clock = timerValues.getCurrentWatermarkInMs()
+        out, kept = [], []
+        for (queue, id_), (_, due, outcome) in last.items():
+            if _millis(due) <= clock:
+                out.append((queue, id_, outcome, due))
+            kept.append((queue, id_, outcome, None if _millis(due) <= clock else due))  # None: what was kept of the key is no more
+        for i in range(0, len(kept), PACK):
+            self.add(kept[i : i + PACK])
+        if kept:
+            self.handle.registerTimer(min(clock + 1 if due is None else _millis(due) for *_, due in kept))
         yield self.frame(out)
 
-    def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=list(self.columns))
-        return out.assign(due=pd.to_datetime(out["due"].astype("int64"), unit="us"))
-
-    def close(self) -> None:
-        pass
+    def expire(self, clock: int) -> list[tuple]:
+        kept = {(queue, id_): (outcome, due) for pack in self.packs() for queue, id_, outcome, due in pack}
+        rows = [(*name, *row) for name, row in kept.items() if row[1] is not None]
+        rest = [r for r in rows if _millis(r[3]) > clock]
+        self.keep(rest)
+        if rest:
+            self.handle.registerTimer(_millis(min(r[3] for r in rest)))
+        return [r for r in rows if _millis(r[3]) <= clock]
 
 
-def release_stream(rows: DataFrame, late: str, due: Column, outcome: Column) -> DataFrame:
+def release_stream(rows: DataFrame, late: str, due: Column, outcome: Column, buckets: int = BUCKETS) -> DataFrame:
     """queue, id, outcome, due of each row (queue, id, at) of the stream once the watermark has passed ``due``; only then it leaves the state."""
-    timed = rows.withWatermark("at", late).select("queue", F.col("id").cast("string").alias("id"), "at", due.cast("timestamp").alias("due"), outcome.alias("outcome")).where("due is not null")
-    return timed.groupBy("queue", "id").transformWithStateInPandas(Release(), "queue string, id string, outcome string, due timestamp", "append", "EventTime")
+    timed = rows.withWatermark("at", late).select(_bucket(buckets, "queue", "id"), "queue", F.col("id").cast("string").alias("id"), "at", due.cast("timestamp").alias("due"), outcome.alias("outcome")).where("due is not null")
+    return timed.groupBy("_bucket").transformWithStateInPandas(Release(), "queue string, id string, outcome string, due timestamp", "append", "EventTime")
 
 
 def forward_stream(tasks: DataFrame, late: str) -> DataFrame:
