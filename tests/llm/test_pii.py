@@ -103,3 +103,16 @@ def test_query_counts_base_spans_by_kind(spark, tmp_path):
     for r in queries.op10_pii_spans(spark, str(tmp_path)).collect():
         kinds = [kind for _, kind, _ in base(texts[r.doc_id])]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds.count(k) for k in range(4)]
+
+
+def test_all_documents_are_learned_from(spark, monkeypatch):
+    """The counts that the trees get are those of every candidate, however many documents there are."""
+    rows = spark.range(25_000).selectExpr("id doc_id", "concat('token=abc', id, ' 1.2.3.', id % 400) text")
+    seen = {}
+    fit = pii.fit
+    monkeypatch.setattr(pii, "fit", lambda x, y, **more: seen.update(more, x=x, y=y) or fit(x, y, **more))
+    pii.train(rows)
+    ips = seen["x"][:, 0] == pii.KINDS.index("ip")
+    assert seen["weight"][ips].sum() == 25_000 and len(seen["weight"]) < 200
+    assert seen["weight"][ips & (seen["y"] == 1)].sum() == sum(i % 400 <= 255 for i in range(25_000))
+    assert 0.3 < seen["weight"][seen["held"]].sum() / seen["weight"].sum() < 0.37

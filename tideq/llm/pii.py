@@ -6,8 +6,8 @@ strings, spelt-out e-mail addresses, local telephone numbers and bare numbers
 of nine to eleven digits. A span's features are its format (kind, length,
 digits, separators, variety of characters, checks that it passes) and its
 context (a keyword shortly before it). Boosted trees, fitted on the driver from
-the candidates of a bounded sample of documents, give each a score; a threshold
-for each kind, set on candidates that were not fitted, selects. The trees run as
+counts of the candidates of all documents by their features in steps, give each a score; a threshold
+for each kind, set on documents that were not fitted, selects. The trees run as
 SQL conditions. Spans that pass a base rule always stay.
 
 There are no labelled spans to learn from, so labels are weak: a candidate of a
@@ -21,7 +21,7 @@ and lengths are summed. Patterns are written so that no long run of characters
 is scanned again from each of its characters, and repeat possessively, which
 Java matches without recursion.
 
-Only DataFrame functions are used, and fitting on collected rows of the sample.
+Only DataFrame functions are used, and fitting on the collected counts.
 
 Defined results: null text counts as empty; rows with equal ids are each
 answered; without a single candidate of either label only base spans are given;
@@ -67,6 +67,11 @@ BEFORE = 24
 FEATURES = ("kind", "length", "digits", "letters", "separators", "variety", "groups", "assigned")
 #: Items of a block of a running fold.
 BLOCK = 64
+#: Steps to which features are rounded up where candidates are counted; beyond the last, ``BEYOND``.
+STEPS = (*range(13), 16, 20, 24, 32, 48, 64, 128)
+BEYOND = 1 << 31
+#: Different values of a feature up to which a tree tries a cut at each.
+CUTS = 32
 #: Threshold of a kind of which no candidate was held back to calibrate it.
 UNCALIBRATED = 0.5
 CANDIDATE = "struct<kind:int,start:int,stop:int,length:double,digits:double,letters:double,separators:double,variety:double,groups:double,assigned:double,valid:double,keyword:double>"
@@ -216,13 +221,16 @@ class Model:
         return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, (walk(t) for t in self.trees), F.lit(float(self.intercept)))))
 
 
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float, least: float = 1.0) -> Tree:
+def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, w: np.ndarray, depth: int, rate: float, least: float = 1.0) -> Tree:
     leaf = float(-rate * g.sum() / (h.sum() + least))
-    if depth == 0 or len(g) < 4:
+    if depth == 0 or w.sum() < 4:
         return leaf
     best = (1e-6, 0, 0.0)
     for f in range(x.shape[1]):
-        for cut in np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 12), method="lower")):
+        cuts = np.unique(x[:, f])
+        if len(cuts) > CUTS:
+            cuts = np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 12), method="lower"))
+        for cut in cuts:
             low = x[:, f] <= cut
             gl, hl = g[low].sum(), h[low].sum()
             gain = gl**2 / (hl + least) + (g.sum() - gl) ** 2 / (h.sum() - hl + least) - g.sum() ** 2 / (h.sum() + least)
@@ -232,46 +240,62 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float,
     if gain <= 1e-6:
         return leaf
     low = x[:, f] <= cut
-    return (f, cut, _grow(x[low], g[low], h[low], depth - 1, rate), _grow(x[~low], g[~low], h[~low], depth - 1, rate))
+    return (f, cut, *(_grow(x[side], g[side], h[side], w[side], depth - 1, rate) for side in (low, ~low)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.4, precision: float = 0.98) -> Model:
-    """Trees from two thirds of the rows; from the rest, for each kind, the lowest threshold that keeps the precision."""
-    share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.4, precision: float = 0.98, weight: np.ndarray | None = None, held: np.ndarray | None = None) -> Model:
+    """Trees from the rows that aren't ``held`` (a third, if it isn't given); from the rest, for each kind, the lowest threshold that keeps the precision.
+
+    ``weight`` is how often each row is there.
+    """
+    w = np.ones(len(y)) if weight is None else weight.astype(float)
+    share = float(np.clip(np.average(y, weights=w) if len(y) else 0.5, 1e-3, 1 - 1e-3))
     model = Model(float(np.log(share / (1 - share))), [], {})
     if not len(y) or y.min() == y.max():
         return model
-    held = np.arange(len(y)) % 3 == 2
-    a, b = x[~held], y[~held]
+    held = np.arange(len(y)) % 3 == 2 if held is None else held
+    a, b, v = x[~held], y[~held], w[~held]
     for _ in range(rounds):
         p = model.score(a)
-        model.trees.append(_grow(a, p - b, p * (1 - p), depth, rate))
+        model.trees.append(_grow(a, v * (p - b), v * p * (1 - p), v, depth, rate))
     p = model.score(x[held])
     for kind in range(len(BASE), len(KINDS)):
         mine = x[held][:, 0] == kind
         if not mine.any():
             model.thresholds[kind] = UNCALIBRATED
-        for threshold in np.unique(np.append(p[mine], 0.5)):
-            chosen = mine & (p >= threshold)
-            if threshold >= 0.5 and chosen.any() and y[held][chosen].mean() >= precision:
+            continue
+        order = np.argsort(p[mine], kind="stable")
+        scores, all_, right = p[mine][order], w[held][mine][order], (w[held] * y[held])[mine][order]
+        all_, right = (np.cumsum(c[::-1])[::-1] for c in (all_, right))
+        for threshold in np.unique(np.append(scores[scores >= 0.5], 0.5)):
+            at = np.searchsorted(scores, threshold)
+            if at < len(scores) and right[at] / all_[at] >= precision:
                 model.thresholds[kind] = float(threshold)
                 break
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, most: int = 50_000) -> Model:
-    """Model from the candidates of about ``sample`` documents, chosen by hash, and at most ``most`` candidates."""
-    n = docs.count()
-    share = min(1.0, sample / n) if n else 1.0
-    # shares of a thousand million million: no table is so large that none of it is taken
-    some = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(10**15)) < int(share * 10**15))
-    # an outer explode: a filter on the candidates would be put before the one that picks the documents
-    spans = candidates(some.select(id_col, text_col), text_col).select(F.xxhash64(id_col, text_col).alias("h"), F.explode_outer("candidates").alias("c")).where("c is not null")
-    rows = spans.orderBy("h", "c.start", "c.kind", "c.stop").limit(most).select(*(F.col(f"c.{f}").cast("double") for f in (*FEATURES, "valid", "keyword"))).collect()
-    x = np.array(sorted(tuple(r) for r in rows), dtype=np.float64).reshape(len(rows), len(FEATURES) + 2)
-    x = x[np.random.default_rng(0).permutation(len(x))]
-    label = np.where(x[:, 0] < len(BASE), x[:, -2], x[:, -1])
-    return fit(x[:, : len(FEATURES)], label)
+def _stepped(value: Column) -> Column:
+    """The smallest of ``STEPS`` that is no less: a cut at a step tells stepped and plain values apart alike."""
+    steps = F.when(value <= STEPS[0], float(STEPS[0]))
+    for step in STEPS[1:]:
+        steps = steps.when(value <= step, float(step))
+    return steps.otherwise(float(BEYOND))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Model from the candidates of all documents, counted by their features in steps; a third of the documents is held back for the thresholds.
+
+    What the driver gets is a row for each different set of steps, labels and fold, not for each candidate.
+    """
+    named = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(3)).alias("fold"), F.col(text_col).alias("text"))
+    spans = candidates(named).select("fold", F.explode("candidates").alias("c"))
+    stepped = [(F.col(f"c.{f}").cast("double") if f == "kind" else _stepped(F.col(f"c.{f}"))).alias(f) for f in FEATURES]
+    label = F.when(F.col("c.kind") < len(BASE), F.col("c.valid")).otherwise(F.col("c.keyword")).alias("label")
+    counted = spans.select(*stepped, label, (F.col("fold") == 2).cast("double").alias("held")).groupBy(*FEATURES, "label", "held").agg(F.count("*").cast("double").alias("n"))
+    rows = sorted(tuple(r) for r in counted.collect())
+    x = np.array(rows, dtype=np.float64).reshape(len(rows), len(FEATURES) + 3)
+    return fit(x[:, : len(FEATURES)], x[:, -3], weight=x[:, -1], held=x[:, -2] == 1)
 
 
 def find_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
