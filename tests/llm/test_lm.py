@@ -132,3 +132,12 @@ def test_probabilities_of_all_words_and_an_unknown_one_sum_to_one():
 def test_better_than_the_base_on_held_out_texts(docs):
     rows = [r for r in lm.score_texts(docs).collect() if r.held_out]
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_messages_of_some_orders_are_their_part_of_all(spark):
+    rows = [(i % 2, i % 2, f"a b {i % 3} c d", 1) for i in range(9)]
+    blocks = spark.createDataFrame(rows, "block long, kind int, text string, copies long")
+    asked = lambda *orders: sorted(tuple(r) for r in lm._messages(blocks, 3, 4, range(*orders)).collect())
+    short, longest = asked(1, 3), asked(3, 4)
+    assert sorted(short + longest) == asked(1, 4)
+    assert max(r[0] for r in short) < 8 <= min(r[0] for r in longest)

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,15 +111,15 @@ def slices(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
             yield int(home[a]), a, b
 
 
-def _messages(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
-    """(range, block, kind, keys, counts) of each block and range with common n-grams."""
+def _messages(blocks: DataFrame, order: int, ranges: int, orders: range) -> DataFrame:
+    """(range, block, kind, keys, counts) of each block and range with common n-grams of ``orders``."""
 
     def send(batch: pd.DataFrame) -> pd.DataFrame:
         grams = Grams(batch["text"].tolist(), order)
         times = batch["copies"].to_numpy(np.int64)
         weigh = bool((times != 1).any())
         rows = []
-        for k in range(1, order + 1):
+        for k in orders:
             at = grams.counted(k)
             keys = grams.keys[k - 1][at]
             by = np.argsort(keys)
@@ -251,7 +252,9 @@ def score_texts(docs: DataFrame, held: Column | None = None, order: int = 3, blo
     number = F.pmod(F.xxhash64("doc_id", "text"), several[F.col("kind")])
     blocks = rows.withColumn("block", (F.col("kind").cast("long") * (1 << 40) + number))
 
-    answers = written(_answers(_messages(blocks, order, ranges), ranges))
+    # the longest n-grams are the larger half of all: asked by themselves, so that the messages of the others have gone from the disks by then
+    parts = [ks for ks in (range(1, order), range(order, order + 1)) if ks]
+    answers = reduce(DataFrame.unionByName, [written(_answers(_messages(blocks, order, ranges, ks), ranges)) for ks in parts])
     words = answers.where("block = -1").agg(*(F.coalesce(F.sum(F.col("words")[i]), F.lit(0)) for i in range(3))).first()
     distinct, kept, tuning = map(int, words)
     any_word = 1 / (distinct + 1)
