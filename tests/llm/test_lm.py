@@ -141,3 +141,20 @@ def test_messages_of_some_orders_are_their_part_of_all(spark):
     short, longest = asked(1, 3), asked(3, 4)
     assert sorted(short + longest) == asked(1, 4)
     assert max(r[0] for r in short) < 8 <= min(r[0] for r in longest)
+
+
+def test_counts_take_no_more_bytes_than_they_need(spark):
+    """A message of one count a byte, answers without the counts that their block doesn't read; large ones and a key of small numbers come back whole."""
+    for values in ([1, 255], [0], [1, 256, 2**40], [2**62]):
+        counts = np.array(values, dtype=np.int64)
+        assert len(data := lm.planes(counts, 1)) == len(values) * max(1, (max(values).bit_length() + 7) // 8)
+        assert lm.unplanes(data, np.int64, len(values)).tolist() == values
+    keys = np.array([0, 3], dtype=np.uint64)
+    assert len(lm.planes(keys)) == 16 and lm.unplanes(lm.planes(keys), np.uint64).tolist() == [0, 3]
+    rows = [(i % 3, i % 3, "a b a c", 1) for i in range(9)]
+    blocks = spark.createDataFrame(rows, "block long, kind int, text string, copies long")
+    messages = lm._messages(blocks, 2, 1, range(1, 3))
+    assert all(len(r.counts) * 8 == len(r["keys"]) for r in messages.collect())
+    answers = [r for r in lm._answers(messages, 1).collect() if r.block >= 0]
+    sizes = {(r.block, r.range): len(r["keys"]) // 8 for r in messages.collect()}
+    assert answers and all(len(r.total) == sizes[r.block, r.range] and (r.kept is not None) == (r.block == lm.TUNING) for r in answers)

@@ -56,13 +56,21 @@ def mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def planes(values: np.ndarray) -> bytes:
-    """64-bit values byte by byte, so that what neighbours share stands together and compresses."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+def planes(values: np.ndarray, least: int = 8) -> bytes:
+    """64-bit values byte by byte, so that what neighbours share stands together and compresses; of the bytes above ``least`` no more than a value needs."""
+    rows = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    width = 8
+    while width > least and not rows[width - 1].any():
+        width -= 1
+    return rows[:width].tobytes()
 
 
-def unplanes(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+def unplanes(data: bytes, kind: type, size: int | None = None) -> np.ndarray:
+    """The values again; ``size`` says how many if they may have fewer than 8 bytes."""
+    part = np.frombuffer(data, np.uint8).reshape(*((8, -1) if size is None else (-1, size)))
+    out = np.zeros((part.shape[1], 8), np.uint8)
+    out[:, : len(part)] = part.T
+    return out.view(kind).ravel()
 
 
 class Grams:
@@ -127,7 +135,7 @@ def _messages(blocks: DataFrame, order: int, ranges: int, orders: range) -> Data
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             counts = np.add.reduceat(times[grams.doc[at]][by], starts) if weigh else np.diff(np.append(starts, len(keys)))
             keys = keys[starts]
-            rows += [((k - 1) * ranges + r, planes(keys[a:b]), planes(counts[a:b])) for r, a, b in slices(keys, ranges)]
+            rows += [((k - 1) * ranges + r, planes(keys[a:b]), planes(counts[a:b], 1)) for r, a, b in slices(keys, ranges)]
         out = pd.DataFrame(rows, columns=["range", "keys", "counts"])
         return out.assign(block=batch["block"].iat[0], kind=batch["kind"].iat[0])[["range", "block", "kind", "keys", "counts"]]
 
@@ -135,41 +143,43 @@ def _messages(blocks: DataFrame, order: int, ranges: int, orders: range) -> Data
 
 
 def _answers(messages: DataFrame, ranges: int) -> DataFrame:
-    """(block, range, kept, tuning): for each message the counts of its keys in the corpus; with block -1 the range's words: how many distinct, kept, tuning."""
+    """(block, range, kept, total): for each message the counts of its keys in the corpus, ``kept`` for tuning blocks alone; with block -1 the range's words: how many distinct, kept, tuning."""
 
     def add_up(batch: pd.DataFrame) -> pd.DataFrame:
         keys = [unplanes(x, np.uint64) for x in batch["keys"]]
         sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-        counts = np.concatenate([unplanes(x, np.int64) for x in batch["counts"]])
+        counts = np.concatenate([unplanes(x, np.int64, n) for x, n in zip(batch["counts"], sizes.tolist())])
         kind = np.repeat(batch["kind"].to_numpy(np.int64), sizes)
         every = np.concatenate(keys)
         by = np.argsort(every)
         every = every[by]
         new = np.concatenate(([True], every[1:] != every[:-1]))
         starts = np.flatnonzero(new)
-        totals = [np.add.reduceat(np.where(kind[by] == k, counts[by], 0), starts) for k in (KEPT, TUNING)]
+        kept, tuning = (np.add.reduceat(np.where(kind[by] == k, counts[by], 0), starts) for k in (KEPT, TUNING))
+        total = kept + tuning
         which = np.empty(len(by), dtype=np.int64)
         which[by] = np.cumsum(new) - 1
         ends = np.cumsum(sizes)
         number = int(batch["range"].iat[0])
-        rows = [(block, number, *(planes(t[which[a:b]]) for t in totals), None) for block, a, b in zip(batch["block"].tolist(), (ends - sizes).tolist(), ends.tolist())]
+        held = [planes(kept[which[a:b]], 1) if k == TUNING else None for k, a, b in zip(batch["kind"].tolist(), (ends - sizes).tolist(), ends.tolist())]
+        rows = [(block, number, part, planes(total[which[a:b]], 1), None) for block, part, a, b in zip(batch["block"].tolist(), held, (ends - sizes).tolist(), ends.tolist())]
         if number < ranges:
             word = every[starts] != START
-            kept, tuning = (t[word] for t in totals)
+            kept, tuning = kept[word], tuning[word]
             rows.append((-1, number, None, None, [int((kept + tuning > 0).sum()), int(kept.sum()), int(tuning.sum())]))
-        return pd.DataFrame(rows, columns=["block", "range", "kept", "tuning", "words"])
+        return pd.DataFrame(rows, columns=["block", "range", "kept", "total", "words"])
 
-    return messages.groupBy("range").applyInPandas(add_up, "block long, range long, kept binary, tuning binary, words array<long>")
+    return messages.groupBy("range").applyInPandas(add_up, "block long, range long, kept binary, total binary, words array<long>")
 
 
 class Counted:
     """Of each token of a block its n-gram's and its context's count, by order from 1."""
 
-    def __init__(self, texts: list[str], answers: pd.DataFrame, order: int, ranges: int, total: int, parts: tuple[str, ...]):
+    def __init__(self, texts: list[str], answers: pd.DataFrame, order: int, ranges: int, total: int, part: str):
         grams = Grams(texts, order)
         self.sizes = grams.sizes
         token = np.flatnonzero(grams.place >= grams.pads)
-        answered = {n: sum(unplanes(x, np.int64) for x in parts) for n, *parts in zip(answers["range"].tolist(), *(answers[p] for p in parts))}
+        answered = dict(zip(answers["range"].tolist(), answers[part]))
         here = []
         for k in range(1, order + 1):
             at = grams.counted(k)
@@ -177,7 +187,7 @@ class Counted:
             by = np.argsort(keys)
             keys = keys[by]
             new = np.concatenate(([True], keys[1:] != keys[:-1]))
-            found = [answered[(k - 1) * ranges + r] for r, _, _ in slices(keys[new], ranges)]
+            found = [unplanes(answered[(k - 1) * ranges + r], np.int64, b - a) for r, a, b in slices(keys[new], ranges)]
             counts = np.zeros(len(grams.place), dtype=np.int64)
             counts[at[by]] = np.concatenate(found)[np.cumsum(new) - 1]
             here.append(counts)
@@ -258,27 +268,27 @@ def score_texts(docs: DataFrame, held: Column | None = None, order: int = 3, blo
     words = answers.where("block = -1").agg(*(F.coalesce(F.sum(F.col("words")[i]), F.lit(0)) for i in range(3))).first()
     distinct, kept, tuning = map(int, words)
     any_word = 1 / (distinct + 1)
-    counts = answers.where("block >= 0").select("block", "range", "kept", "tuning")
+    counts = answers.where("block >= 0").select("block", "range", "kept", "total")
 
     names = [f"f{k}" for k in range(1, order + 1)]
 
     def tune(batch: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         times = batch["copies"].to_numpy(np.int64)
-        counted = Counted(batch["text"].tolist(), found, order, ranges, kept, ("kept",))
+        counted = Counted(batch["text"].tolist(), found, order, ranges, kept, "kept")
         bucket, ratio = counted.estimates()
-        out = pd.DataFrame(ratio, columns=names).assign(bucket=bucket, n=np.repeat(times, counted.sizes))
-        return out.groupby(["bucket", *names], as_index=False)["n"].sum()
+        # few tokens of one block are alike: Spark adds them up
+        return pd.DataFrame({"bucket": bucket, **dict(zip(names, ratio.T)), "n": np.repeat(times, counted.sizes)})
 
     schema = f"bucket long, {', '.join(f'{n} double' for n in names)}, n long"
     of_tuning = F.col("block").between(TUNING << 40, (HELD_OUT << 40) - 1)
-    seen = blocks.where(F.col("kind") == TUNING).groupBy("block").cogroup(counts.where(of_tuning).groupBy("block")).applyInPandas(tune, schema)
+    seen = blocks.where(F.col("kind") == TUNING).groupBy("block").cogroup(counts.where(of_tuning).drop("total").groupBy("block")).applyInPandas(tune, schema)
     weights = learn(written(seen.groupBy("bucket", *names).agg(F.sum("n").alias("n"))), order, any_word)
 
     total = kept + tuning
     id_kind = docs.select("doc_id").dtypes[0][1]
 
     def score(batch: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        counted = Counted(batch["text"].tolist(), found, order, ranges, total, ("kept", "tuning"))
+        counted = Counted(batch["text"].tolist(), found, order, ranges, total, "total")
         bucket, ratio = counted.estimates()
         mixed = weights[bucket]
         p = mixed[:, 0] * any_word + (mixed[:, 1:] * ratio).sum(axis=1)
@@ -293,7 +303,7 @@ def score_texts(docs: DataFrame, held: Column | None = None, order: int = 3, blo
         )
 
     schema = f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, copies long"
-    scored = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(score, schema)
+    scored = blocks.groupBy("block").cogroup(counts.drop("kept").groupBy("block")).applyInPandas(score, schema)
     if repeated:
         scored = scored.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return scored.drop("copies")
