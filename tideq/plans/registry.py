@@ -560,12 +560,14 @@ z as (select t, t + interval 9 hour as tokyo, case when t >= timestamp '2024-03-
 s as (select s_suppkey as k, case s_suppkey % 8 {" ".join(f"when {k} then {v}" for k, v in _SPECS.items())} end as spec from supplier),
 f as (select k, min(t) as next_at from s join z on case k % 8 when 0 then mi % (5 + k % 4 * 5) = 0 when 1 then hour(tokyo) = 9 and minute(tokyo) = k % 60
   when 2 then mi % 15 = 0 and h >= k % 24 and (h - k % 24) % 5 = 0 when 3 then h = 0 and mi = 0 when 4 then h = 0 and mi = 0 and (d in (9, 15) or dayofweek(t) = 1)
-  when 6 then minute(york) = 30 and hour(york) = k % 24 else false end group by k)
-select s.k as entry_id, spec, next_at from s left join f on f.k = s.k where s.k % 8 <> 7""",
+  when 6 then minute(york) = 30 and hour(york) = k % 24 else false end group by k
+  union all select k, min(t) from s join (select unnest(generate_series(timestamp '{_CRON_FROM}' + interval 6 hour, timestamp '{_CRON_FROM}' + interval 366 day, interval 1 day)) as t) n
+    on k % 8 = 7 and month(t) in (1, 3) and day(t) = 1 + k % 28 group by k)
+select s.k as entry_id, spec, next_at from s left join f on f.k = s.k""",
     on_tasks=False,
 )
 def cron_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.cron_next(_specs(spark, sf_dir).where("entry_id % 8 <> 7"), _CRON_FROM)
+    return schedule.cron_next(_specs(spark, sf_dir), _CRON_FROM)
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
