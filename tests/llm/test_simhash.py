@@ -106,3 +106,21 @@ def test_similar_texts_against_all_pairs(spark):
     print(links, len(texts), len(want), len(got - want))
     assert links > 400
     assert want <= got and len(got - want) <= 0.02 * (len(texts) - len(want))
+
+
+def test_pairs_in_crowded_keys_against_all_pairs(spark):
+    """Texts that share most of their words, like only in pairs: all keys of many pairs are crowded, and so are their finer keys."""
+    rng = np.random.default_rng(11)
+    words = lambda name, n: [f"{name}{x}" for x in rng.integers(0, 10**6, n)]
+    common, texts = words("c", 600), []
+    for _ in range(60):
+        own = words("p", 60)
+        texts += [" ".join(common + own + words("u", 40)) for _ in range(2)]
+    sets = [set(simhash.shingle_hashes(text, 5).tolist()) for text in texts]
+    links = {(i, j) for j in range(len(texts)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8}
+    assert links == {(i, i + 1) for i in range(0, 120, 2)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs, radius=0).collect()} == set(range(0, 120, 2))
+    # parities bound the shingles in which two sets differ
+    odd = [simhash.odd_classes(np.array(sorted(s), dtype=np.uint64)) for s in sets]
+    assert all(np.bitwise_count((odd[i] ^ odd[0]).view(np.uint64)).sum() <= len(sets[i] ^ sets[0]) for i in range(120))

@@ -23,7 +23,11 @@ the ``LEAST`` smallest of a text's hashes in a part make a key. Two texts of
 similarity 0.8 share a given key at odds of 0.8 ** LEAST, and one of all keys at
 over 0.99. Texts under one key are compared if they are at most ``CROWD``; in a
 more crowded key each meets the smallest and the largest, and what is like
-neither is cut finer by a second key of its own and met in the same way. Each
+neither is cut finer by a second key of its own and met in the same way; that
+brings most of a group together. Then all texts of a crowded key that aren't in
+one group yet are compared, in tiles, so that no link between groups is lost;
+the parities of their shingles in ``64 * ODD`` classes, which bound what two
+sets can have in common, go before. Each
 pair is verified by its whole shingle sets, in Spark, hubs being salted.
 
 Defined results: null and empty texts, and texts without words, have the
@@ -60,6 +64,10 @@ PARTS, LEAST = 12, 4
 CROWD = 8
 #: Pairs of one hub that meet one copy of its shingles.
 HUB = 256
+#: Texts outside its largest group that one task compares with all texts of a crowded key.
+TILE = 1024
+#: Columns of 64 bits each that tell which of so many classes of shingles a text has an odd number of.
+ODD = 16
 
 
 def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
@@ -100,6 +108,12 @@ def part_keys(distinct: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes(), 42) - (1 << 63) for part in parts if len(part)]
 
 
+def odd_classes(distinct: np.ndarray) -> np.ndarray:
+    """Of each class of hashes whether there is an odd number of the ``distinct`` ones, as bits of ``ODD`` signed longs: two sets differ in at least as many hashes as bits."""
+    counts = np.bincount((distinct & np.uint64(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
@@ -268,26 +282,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets' sizes allow the similarity."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
+
+
 def _met(keys: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Pairs (u, v) of texts to verify, of ``keys`` (key, t, n); and the texts of crowded keys with the smallest and largest of these (lo, hi).
 
     A crowded key's hub is the pair's v.
     """
 
-    def alike(a: str, b: str) -> Column:
-        return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
-
     shared = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.min_by("n", "t").alias("lo_n"), F.max_by("n", "t").alias("hi_n"))
     shared = written(shared.where("k > 1"))
-    two = shared.where((F.col("k") == 2) & alike("lo_n", "hi_n")).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    two = shared.where((F.col("k") == 2) & _alike("lo_n", "hi_n", similarity)).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     members = written(keys.join(shared.where("k > 2"), "key"))
     few = members.where(F.col("k") <= CROWD).select("key", F.col("t").alias("u"), F.col("n").alias("u_n"))
-    some = few.join(few.select("key", F.col("u").alias("v"), F.col("u_n").alias("v_n")), "key").where((F.col("u") < F.col("v")) & alike("u_n", "v_n"))
+    some = few.join(few.select("key", F.col("u").alias("v"), F.col("u_n").alias("v_n")), "key").where((F.col("u") < F.col("v")) & _alike("u_n", "v_n", similarity))
     crowded = members.where(F.col("k") > CROWD)
-    hubs = (crowded.where((F.col("t") != F.col(end)) & alike("n", f"{end}_n")).select(F.col("t").alias("u"), F.col(end).alias("v")) for end in ("lo", "hi"))
+    hubs = (crowded.where((F.col("t") != F.col(end)) & _alike("n", f"{end}_n", similarity)).select(F.col("t").alias("u"), F.col(end).alias("v")) for end in ("lo", "hi"))
     return reduce(DataFrame.unionByName, (x.select("u", "v") for x in (two, some, *hubs))).distinct(), crowded
 
 
+def _apart(crowded: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of texts of a crowded key in different ones of ``groups`` (node, root), whose sizes and parities allow the similarity.
+
+    One text of each such pair is outside the key's largest group: these texts are dealt to tiles, and each tile meets all texts of the key.
+    """
+    members = written(crowded.select("key", "t", "n").join(groups.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t")))
+    largest = members.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("largest"))
+    tiles = largest.select("key", F.col("largest.root").alias("top"), F.ceil((F.col("all") - F.col("largest.k")) / TILE).cast("int").alias("tiles"))
+    tiles = written(tiles.where("tiles > 0"))
+    open_keys = members.join(broadcast_within(tiles, 500_000), "key").join(texts.select("t", "odd"), "t")
+    sides = {"u": F.pmod(F.xxhash64("t"), F.col("tiles")).cast("int"), "v": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))}
+    u, v = (
+        (open_keys.where("root <> top") if x == "u" else open_keys).select(
+            "key", "top", tile.alias("tile"), F.col("t").alias(x), F.col("n").alias(f"{x}_n"), F.col("root").alias(f"{x}_root"), *(F.get("odd", F.lit(i)).alias(f"{x}_{i}") for i in range(ODD))
+        )
+        for x, tile in sides.items()
+    )
+    # the side whose texts of one key and tile are buffered comes second
+    met = v.join(u.drop("top"), ["key", "tile"]).where((F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("top")) | (F.col("u") < F.col("v"))))
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"u_{i}").bitwiseXOR(F.col(f"v_{i}"))) for i in range(ODD)))
+    sizes = F.col("u_n") + F.col("v_n")
+    common = F.floor((sizes - differ) / 2)
+    near = met.where(_alike("u_n", "v_n", similarity) & (common >= (sizes - common) * F.lit(similarity)))
+    return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, key: Column, shingle: int, similarity: float) -> DataFrame:
     """Of the pairs (u, v) of texts those whose shingle sets have the Jaccard similarity; ``rows`` (row, t) says which row of ``docs``, told by ``key``, holds a text."""
 
@@ -310,8 +352,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str,
 
 
 def _similar(docs: DataFrame, marked: DataFrame, text_col: str, key: Column, shingle: int, similarity: float) -> DataFrame:
-    """Links (u, v) of fingerprints, of texts whose shingle sets are similar; ``marked`` has row, fp, t (the text's hash), n (shingles), keys."""
-    texts = written(marked.where(F.size("keys") > 0).groupBy("t").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")))
+    """Links (u, v) of fingerprints, of texts whose shingle sets are similar; ``marked`` has row, fp, t (the text's hash), n (shingles), keys, odd."""
+    texts = written(marked.where(F.size("keys") > 0).groupBy("t").agg(*(F.min(c).alias(c) for c in ("fp", "n", "keys", "odd"))))
     pairs, crowded = _met(texts.select(F.explode("keys").alias("key"), "t", "n"), similarity)
     pairs, rows = written(pairs), marked.select("row", "t")
     first = _verified(pairs, docs, rows, text_col, key, shingle, similarity)
@@ -324,7 +366,13 @@ def _similar(docs: DataFrame, marked: DataFrame, text_col: str, key: Column, shi
     finer = rest.select("key", "t", "n").join(texts.select("t", "keys"), "t").select("key", "t", "n", F.explode("keys").alias("other")).where("key <> other")
     more, _ = _met(finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "t", "n").distinct(), similarity)
     more = written(more.join(pairs, ["u", "v"], "left_anti"))
-    found = first.unionByName(_verified(more, docs, rows, text_col, key, shingle, similarity))
+    second = _verified(more, docs, rows, text_col, key, shingle, similarity)
+    found = first.unionByName(second)
+
+    # texts of a crowded key that these haven't brought into one group
+    apart = _apart(crowded, written(connected_components(found)), texts, similarity)
+    last = written(apart.join(pairs, ["u", "v"], "left_anti").join(more, ["u", "v"], "left_anti"))
+    found = found.unionByName(_verified(last, docs, rows, text_col, key, shingle, similarity))
     for end in "uv":
         found = found.join(texts.select(F.col("t").alias(end), F.col("fp").alias(f"{end}_fp")), end)
     return found.select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v")).where("u <> v").distinct()
@@ -341,7 +389,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row, fate = free_name(docs, "row"), free_name(docs, "fate")
     key = F.xxhash64(*(F.to_json(F.col(c)) if kind.startswith("map") else F.col(c) for c, kind in docs.dtypes))
 
-    @F.pandas_udf("fp long, t long, n long, keys array<long>")
+    @F.pandas_udf("fp long, t long, n long, keys array<long>, odd array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         found = []
         for text in texts:
@@ -349,8 +397,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             distinct = np.unique(hashes)
             # the hashes' own hash: texts of equal shingles in equal order
             whole = xxhash.xxh64_intdigest(hashes.tobytes(), 42) - (1 << 63)
-            found.append((np.uint64(majority(hashes)).view(np.int64), whole, len(distinct), part_keys(distinct)))
-        return pd.DataFrame(found, columns=["fp", "t", "n", "keys"])
+            found.append((np.uint64(majority(hashes)).view(np.int64), whole, len(distinct), part_keys(distinct), odd_classes(distinct)))
+        return pd.DataFrame(found, columns=["fp", "t", "n", "keys", "odd"])
 
     marked = docs.select(key.alias("row"), F.col(id_col).cast("long").alias("doc_id"), sketch(text_col).alias("x"))
     marked = written(marked.select("row", "doc_id", "x.*"))
