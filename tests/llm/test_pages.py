@@ -111,3 +111,20 @@ def test_odd_sections_and_long_references_raise_nothing():
         assert pages.blocks_of(f"<article><p>a {section}b</p></article>") == (["a b"], True), section
     nines, zeros = "&#" + "9" * 5000 + ";", "&#" + "0" * 5000 + "65;"
     assert pages.blocks_of(f'<article><a title="{nines}">x {nines} {zeros}</a></article>') == (["x � A"], True)
+
+
+def test_arrays_go_over_marked_pages_too(spark):
+    """On a host whose pages all mark their article the arrays didn't run: nothing told what its pages repeat."""
+    passage = "ten words of a passage that stands on several pages"
+    rows = [(i, f"http://m.example/{i}", f"<nav>menu</nav><article><p>own {i}<p>{passage}</article>") for i in range(7)] + [(None, "http://m.example/6", f"<nav>menu</nav><article><p>own 6<p>{passage}</article>")]
+    rows += [(10 + i, f"http://n.example/{min(i, 1)}", f"<main>{passage}</main>") for i in range(5)]
+    for shard in (100, pages.SHARD):
+        got = sorted(((r.page_id, r.text, r.n_repeated) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard=shard).collect()), key=str)
+        # pages of one url and html count as one: only two pages of the second host have the passage
+        want = [(i, f"own {i}\n{passage}", 10) for i in range(7)] + [(None, f"own 6\n{passage}", 10)] + [(10 + i, passage, 0) for i in range(5)]
+        assert got == sorted(want, key=str)
+
+
+def test_lists_of_buckets():
+    for numbers in ([], [0], [0, 0, 5, 70_000, 2**32 - 1]):
+        assert list(pages.unpacked_list(pages.packed_list(np.array(numbers, dtype=np.int64)))) == numbers
